@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvagraph.llm import bpe, simhash, tokenfile
+from sylvagraph.llm import bpe, classlm, simhash, tokenfile
 from sylvagraph.sources.tables import read_table
 
 
@@ -29,6 +29,10 @@ def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.fit_and_score(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     path = tokenfile.write(docs, tokenfile.fresh_path(spark), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -39,6 +43,7 @@ def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_neardup": op6_simhash_neardup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_class_lm": op9_class_lm,
     "op10_token_parquet": op10_token_parquet,
 }
 
