@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvagraph.llm import bpe, classlm, simhash, tokenfile
+from sylvagraph.llm import bpe, classlm, mixing, oracle, quality, simhash, tokenfile
 from sylvagraph.sources.tables import read_table
 
 
@@ -24,6 +24,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.schedule(docs).select("doc_id", "source", F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_row").alias("row_in_block"))
+
+
+def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
@@ -41,10 +50,14 @@ def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pfair_mixing": op2_pfair_mixing,
+    "op4_quality_discriminant": op4_quality_discriminant,
     "op6_simhash_neardup": op6_simhash_neardup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_class_lm": op9_class_lm,
     "op10_token_parquet": op10_token_parquet,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_pfair_mixing": oracle.pfair_mixing(),
+}
