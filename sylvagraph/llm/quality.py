@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvagraph.llm.common import arrow_map, crc32_of_id, stored, text_bytes
+from sylvagraph.llm.common import arrow_map, crc32_of_id, free_name, stored, text_bytes
 
 STATISTICS = ("log bytes", "log words", "bytes a word", "log upper", "log digits", "log punctuation", "log symbols", "distinct words", "log bytes a line", "bars a word", "short words")
 SHRINKAGE = 0.2
@@ -120,19 +120,19 @@ def fit(rows: DataFrame, label_col: str = "label", name: str = "statistics", shr
     return Discriminant(mean, scale, means, factors, constants)
 
 
-def scored(stats: DataFrame, model: Discriminant | float, keep: list[str], name: str = "statistics") -> DataFrame:
-    """``keep`` and ``score``."""
-    schema = T.StructType([*(stats.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
-    return stats.select(*keep, name).mapInArrow(partial(_scored, model=model, keep=keep, name=name), schema)
+def scored(stats: DataFrame, model: Discriminant | float, keep: list[str], name: str = "statistics", score: str = "score") -> DataFrame:
+    """``keep`` and the score."""
+    schema = T.StructType([*(stats.schema[c] for c in keep), T.StructField(score, T.DoubleType())])
+    return stats.select(*keep, name).mapInArrow(partial(_scored, model=model, keep=keep, name=name, score=score), schema)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Discriminant | float, keep: list[str], name: str) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: Discriminant | float, keep: list[str], name: str, score: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         x = batch.column(name).flatten().to_numpy().reshape(batch.num_rows, -1)
         found = np.full(len(x), model) if isinstance(model, float) else model.scores(x)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found)], names=[*keep, "score"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found)], names=[*keep, score])
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, shrinkage: float = SHRINKAGE) -> DataFrame:
@@ -142,3 +142,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marked = labels.select(F.col(id_col), F.col(label_col).alias("label")).filter(~held)
     model = fit(stats.join(marked, id_col), "label", shrinkage=shrinkage)
     return scored(stats, model, [id_col]).select(id_col, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, shrinkage: float = SHRINKAGE) -> DataFrame:
+    """The documents scored at ``threshold`` or more, with all their columns. Without labelled rows of both classes nothing is rejected."""
+    name, score = free_name(docs, "statistics"), free_name(docs, "score")
+    held = F.coalesce(crc32_of_id(id_col) % 4 == 2, F.lit(False))
+    stats = stored(statistics(docs.select(id_col, text_col).filter(~held), [id_col], text_col))
+    model = fit(stats.join(labels.select(F.col(id_col), F.col(label_col).alias("label")), id_col), "label", shrinkage=shrinkage)
+    if isinstance(model, float):
+        return docs
+    found = scored(statistics(docs, docs.columns, text_col, name), model, docs.columns, name, score)
+    return found.filter(F.col(score) >= threshold).select(*docs.columns)

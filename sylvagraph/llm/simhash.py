@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvagraph.llm.common import arrow_map, stored, text_bytes
+from sylvagraph.llm.common import arrow_map, free_name, stored, text_bytes
 from sylvagraph.llm.components import connected_components
 
 BITS = 64
@@ -58,15 +58,15 @@ def fingerprint_of(text: bytes, shingle_words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, seed: int = 42) -> DataFrame:
-    """``id_col`` and ``bits``: the fingerprint as a signed BIGINT."""
+def fingerprints(df: DataFrame, keep: list[str], text_col: str = "text", shingle_words: int = 4, seed: int = 42, name: str = "bits") -> DataFrame:
+    """``keep`` and the fingerprint of each whole text as a signed BIGINT."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         bits = np.array([fingerprint_of(x, shingle_words, seed) for x in text_bytes(batch.column(text_col))], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(bits.view(np.int64))], names=[id_col, "bits"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(bits.view(np.int64))], names=[*keep, name])
 
-    schema = T.StructType([df.schema[id_col], T.StructField("bits", T.LongType())])
-    return arrow_map(df.select(*dict.fromkeys([id_col, text_col])), run, schema)
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, T.LongType())])
+    return arrow_map(df.select(*dict.fromkeys([*keep, text_col])), run, schema)
 
 
 def segments_of(radius: int, count: int) -> list[tuple[int, int, int]]:
@@ -133,13 +133,30 @@ def links(nodes: DataFrame, radius: int = 4, segments: int = 3, pair_limit: int
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, seed: int = 42, radius: int = 4, segments: int = 3, pair_limit: int = 256) -> DataFrame:
-    """``id_col``, ``bits`` and ``component_id``: the smallest id reachable by links, the row's own included."""
-    prints = stored(fingerprints(df, id_col, text_col, shingle_words, seed))
+def grouped(prints: DataFrame, id_col: str, radius: int = 4, segments: int = 3, pair_limit: int = 256) -> DataFrame:
+    """For each distinct ``bits`` of stored ``prints``: its group's ``root`` and ``component_id``, the smallest id in the group."""
     nodes = stored(prints.groupBy("bits").agg(F.min(id_col).alias("first_id")))
     found = connected_components(stored(links(nodes.select("bits"), radius, segments, pair_limit)))
-    # Nodes that no edge touches are components of their own.
+    # Nodes that no edge touches are groups of their own.
     roots = nodes.join(found.withColumnRenamed("node", "bits"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_bits = roots.join(least, "root").select("bits", "component_id")
-    return prints.join(of_bits, "bits").select(id_col, "bits", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
+    return roots.join(least, "root").select("bits", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, seed: int = 42, radius: int = 4, segments: int = 3, pair_limit: int = 256) -> DataFrame:
+    """``id_col``, ``bits`` and ``component_id``: the smallest id reachable by links, the row's own included."""
+    prints = stored(fingerprints(df, [id_col], text_col, shingle_words, seed))
+    found = prints.join(grouped(prints, id_col, radius, segments, pair_limit), "bits")
+    return found.select(id_col, "bits", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, seed: int = 42, radius: int = 4, segments: int = 3, pair_limit: int = 256) -> DataFrame:
+    """One row of each group, with all columns of ``df``: that of the smallest id; of rows that repeat it, any one.
+
+    A group whose ids are all null keeps one of its rows.
+    """
+    bits, root, first = (free_name(df, x) for x in ("bits", "root", "component_id"))
+    prints = stored(fingerprints(df, df.columns, text_col, shingle_words, seed, bits))
+    groups = grouped(prints.select(F.col(bits).alias("bits"), F.col(id_col).alias("id")), "id", radius, segments, pair_limit)
+    found = prints.join(groups.select(F.col("bits").alias(bits), F.col("root").alias(root), F.col("component_id").alias(first)), bits)
+    return found.filter(F.col(first).isNull() | (F.col(first) == F.col(id_col))).dropDuplicates([root]).select(*df.columns)
