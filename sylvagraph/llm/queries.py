@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvagraph.llm import bpe, classlm, mixing, oracle, quality, simhash, tokenfile
+from sylvagraph.llm import bpe, classlm, mixing, oracle, quality, simhash, tokenfile, urlfilter
 from sylvagraph.sources.tables import read_table
 
 
@@ -24,6 +24,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights, constant = urlfilter.train(urlfilter.labelled_table(spark))
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, weights, constant, urlfilter.RULES).select("page_id", "host", "path", "rule", "verdict", "p_unwanted")
+
+
 def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.schedule(docs).select("doc_id", "source", F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_row").alias("row_in_block"))
@@ -50,6 +56,7 @@ def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_pfair_mixing": op2_pfair_mixing,
     "op4_quality_discriminant": op4_quality_discriminant,
     "op6_simhash_neardup": op6_simhash_neardup,
