@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvagraph.llm import bpe, classlm, mixing, oracle, quality, simhash, tokenfile, urlfilter
+from sylvagraph.llm import bpe, classlm, mixing, oracle, quality, simhash, tokenfile, topk, urlfilter
 from sylvagraph.sources.tables import read_table
 
 
+def op7_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pfair_mixing": op2_pfair_mixing,
     "op4_quality_discriminant": op4_quality_discriminant,
     "op6_simhash_neardup": op6_simhash_neardup,
+    "op7_voronoi_topk": op7_voronoi_topk,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_class_lm": op9_class_lm,
     "op10_token_parquet": op10_token_parquet,
@@ -67,4 +72,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_pfair_mixing": oracle.pfair_mixing(),
+    "op7_voronoi_topk": oracle.TOP_K,
 }
