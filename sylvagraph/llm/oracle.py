@@ -60,3 +60,28 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
 WHERE rank <= 5
 """
+
+
+NEAR_VECTORS = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM usable a JOIN usable b ON a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings WHERE vec_id IS NOT NULL
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), components AS (
+    SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), counts AS (
+    SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM embeddings e LEFT JOIN components c ON c.vec_id = e.vec_id LEFT JOIN counts l ON l.vec_id = e.vec_id
+"""

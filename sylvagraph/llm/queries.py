@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvagraph.llm import bpe, classlm, mixing, oracle, quality, simhash, tokenfile, topk, urlfilter
+from sylvagraph.llm import bpe, classlm, mixing, oracle, pq, quality, simhash, tokenfile, topk, urlfilter
 from sylvagraph.sources.tables import read_table
 
 
@@ -43,6 +43,10 @@ def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_pq_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_duplicates(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_pfair_mixing": op2_pfair_mixing,
     "op4_quality_discriminant": op4_quality_discriminant,
+    "op5_pq_neardup": op5_pq_neardup,
     "op6_simhash_neardup": op6_simhash_neardup,
     "op7_voronoi_topk": op7_voronoi_topk,
     "op8_byte_bpe": op8_byte_bpe,
@@ -72,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_pfair_mixing": oracle.pfair_mixing(),
+    "op5_pq_neardup": oracle.NEAR_VECTORS,
     "op7_voronoi_topk": oracle.TOP_K,
 }
