@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvagraph.llm import bpe, classlm, mixing, oracle, pq, quality, simhash, tokenfile, topk, urlfilter
+from sylvagraph.llm import bpe, classlm, htmltext, mixing, oracle, pq, quality, simhash, tokenfile, topk, urlfilter
 from sylvagraph.sources.tables import read_table
 
 
@@ -39,6 +39,11 @@ def op2_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(docs).select("doc_id", "source", F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_row").alias("row_in_block"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmltext.extract(read_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -66,6 +71,7 @@ def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_pfair_mixing": op2_pfair_mixing,
+    "op3_html_text": op3_html_text,
     "op4_quality_discriminant": op4_quality_discriminant,
     "op5_pq_neardup": op5_pq_neardup,
     "op6_simhash_neardup": op6_simhash_neardup,
