@@ -27,7 +27,7 @@ def ranked_targets(nodes: DataFrame, links: DataFrame) -> DataFrame:
     tried = keys.select("link_key", symbol.alias("symbol"), F.posexplode(F.array(*(F.concat(structural(target), F.lit(s)) for s in TRIED))).alias("at", "file"))
     of_file = nodes.select(F.col("id").alias("file"), "exports")
     known = tried.join(of_file, "file", "left")
-    match = F.filter("exports", lambda e: (e.exported_name == F.col("symbol")) | ((F.col("symbol") == "default") & e.is_default))[0]
+    match = F.get(F.filter("exports", lambda e: (e.exported_name == F.col("symbol")) | ((F.col("symbol") == "default") & e.is_default)), F.lit(0))
     names = F.when(F.col("symbol").isNotNull(), F.array("symbol", match.local_name, match.exported_name)).otherwise(F.array().cast("array<string>"))
     in_file = F.transform(names, lambda n, i: F.struct((F.col("at") * 3 + i).alias("rank"), F.concat("file", F.lit("#"), n).alias("candidate")))
     itself = F.array(F.struct((F.col("at") + FILE_RANK).alias("rank"), F.col("file").alias("candidate")))
