@@ -1,8 +1,8 @@
 """Token ids as Parquet list columns, and selective reads of them (operator 10).
 
-Encoding: texts are cut at spaces after or before something other than white space, where no match of
+Encoding: texts are cut before spaces and newlines after or before something other than white space, where no match of
 the byte-level pre-tokenizer can span; the distinct pieces of a batch are encoded by the tokenizers library and put
-together by their codes. Texts with a space between white space go to the library whole.
+together by their codes. Texts with a space or newline between white space go to the library whole.
 
 Files: one row a document in ascending id order over all files (``part-NNNNN`` by NNNNN, then row by row): its
 id, its number of tokens and its ids as a list column. Ids are dictionary encoded, the id and length columns
@@ -30,16 +30,22 @@ from pyspark.sql import types as T
 
 from sylvagraph.llm.common import arrow_map, shared_dir
 
-#: White space of any kind, for RE2. A cut before a space that has it on both sides may fall inside a match.
+#: White space of any kind, for RE2. A cut before a space or newline that has it on both sides may fall inside a match.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
-_UNSAFE = _WHITE + " (?:" + _WHITE + r"|\z)"
+_UNSAFE = _WHITE + r"[ \n](?:" + _WHITE + r"|\z)"
+#: Latin or Cyrillic letters, then ASCII punctuation without the apostrophe, which may begin a contraction.
+_SIMPLE = r"^(?P<letters>\n?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2AF}\x{400}-\x{481}]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 SLICE_BYTES = 4 << 20
 JOINED = 64
-MAX_PIECES = 600_000
+MAX_PIECES = 500_000
 
 
 class PieceEncoder:
-    """The tokenizers library behind caches of bounded size. Keys of the caches are pieces of text, values packed ids."""
+    """The tokenizers library behind caches of bounded size, which give packed ids.
+
+    Most chunks between spaces are letters and then ASCII punctuation: two matches of the pre-tokenizer. Arrow takes
+    them apart and numbers the distinct ones, so Python sees each once a batch. All other chunks are looked up whole.
+    """
 
     def __init__(self, path: str, pattern: str):
         import os
@@ -52,91 +58,90 @@ class PieceEncoder:
         self.library.encode_special_tokens = True
         # A token of a byte-level vocabulary has a character for each byte.
         self.lengths = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())], dtype=np.int64)
-        self.simple = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}']*)").fullmatch
         self.matches = regex.compile(pattern).findall
-        self.spaced: dict[str, bytes] = {}  # keys are what follows the space
-        self.bare: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # letters after a space, or a newline and letters
+        self.pieces: dict[str, bytes] = {}  # single matches
+        self.chunks: dict[str, bytes] = {}  # any text that is encoded by itself
 
-    def _each(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_words(self, words: list[str]) -> None:
-        """Letters after a space. Several are encoded as one text, each a match of its own; the bytes of tokens tell where one ends."""
+        """Several are encoded as one text, each a match of its own; the bytes of tokens tell where one ends."""
         groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
-        texts = ["".join(f" {w}" for w in group) for group in groups]
+        texts = ["".join([w if w[0] == "\n" else f" {w}" for w in group]) for group in groups]
         for group, found in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, dtype="<u4")
-            ends = np.cumsum([len(w.encode()) + 1 for w in group])
+            ends = np.cumsum([len(w.encode()) + (w[0] != "\n") for w in group])
             stops = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
             packed, at = ids.tobytes(), 0
             for word, stop in zip(group, stops.tolist(), strict=True):
                 self.words[word] = packed[4 * at : 4 * stop]
                 at = stop
 
-    def _learn(self, chunks: list[str], cache: dict[str, bytes], lead: str) -> None:
-        """Adds chunks, each with ``lead`` before it, to a cache."""
-        parts = []
-        for chunk in chunks:
-            found = self.simple(chunk) if lead else None
-            if found:
-                parts.append((found[1], [found[2]] if found[2] else []))
-            else:
-                pieces = self.matches(lead + chunk)
-                if pieces and lead and len(pieces[0]) > 1 and pieces[0][1:].isalpha() and pieces[0][0] == " ":
-                    parts.append((pieces[0][1:], pieces[1:]))
-                else:
-                    parts.append(("", pieces))
-        if len(self.words) > MAX_PIECES:
-            self.words.clear()
-        if len(self.others) > MAX_PIECES:
-            self.others.clear()
-        self._learn_words(list({w for w, _ in parts if w} - self.words.keys()))
-        new = list({p for _, pieces in parts for p in pieces} - self.others.keys())
-        self.others.update(zip(new, self._each(new), strict=True))
-        if len(cache) > MAX_PIECES:
-            cache.clear()
-        for chunk, (word, pieces) in zip(chunks, parts, strict=True):
-            cache[chunk] = (self.words[word] if word else b"") + b"".join([self.others[p] for p in pieces])
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        self.pieces.update(zip(pieces, self._each(pieces), strict=True))
 
-    def _found(self, chunks: list[str], cache: dict[str, bytes], lead: str) -> list[bytes]:
-        got = list(map(cache.get, chunks))
-        missing = [c for c, x in zip(chunks, got, strict=True) if x is None]
-        if not missing:
+    def _learn_chunks(self, chunks: list[str]) -> None:
+        parts = [self.matches(c) for c in chunks]
+        pieces = list({p for found in parts for p in found})
+        of = dict(zip(pieces, self._found(pieces, self.pieces, self._learn_pieces), strict=True))
+        self.chunks.update((c, b"".join([of[p] for p in found])) for c, found in zip(chunks, parts, strict=True))
+
+    def _found(self, keys: list[str], cache: dict[str, bytes], learn) -> list[bytes]:
+        got = list(map(cache.get, keys))
+        if None not in got:
             return got
-        self._learn(list(dict.fromkeys(missing)), cache, lead)
-        return [cache[c] if x is None else x for c, x in zip(chunks, got, strict=True)]
+        if len(cache) > MAX_PIECES:
+            cache.clear()
+            got = [None] * len(keys)
+        learn(list({k for k, x in zip(keys, got, strict=True) if x is None}))
+        return list(map(cache.__getitem__, keys))
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (one more than texts) and ids."""
         texts = texts.fill_null("")
         whole = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        # Cuts stand before spaces and newlines: a chunk has its newline, or had a space before it.
+        lists = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(whole), "", texts), "\n", " \n"), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
+        codes = coded.indices.to_numpy()
         firsts = offsets[:-1]
-        chunks = coded.dictionary.to_pylist()
-        packed = self._found(chunks, self.spaced, " ")
-        packed += self._found([chunks[c] for c in codes[firsts].tolist()], self.bare, "")
-        codes = codes.copy()
-        codes[firsts] = len(chunks) + np.arange(len(firsts))
+        # Letters, punctuation and the chunks that are neither, each with numbers of its own in one list of packed ids.
+        found = pc.extract_regex(coded.dictionary, _SIMPLE)
+        letters, marks = (pc.struct_field(found, i).dictionary_encode() for i in ("letters", "marks"))
+        odd = found.is_null().to_numpy(zero_copy_only=False)
+        packed = self._found(letters.dictionary.to_pylist(), self.words, self._learn_words)
+        at_marks = len(packed)
+        packed += [b"" if not x else self._found([x], self.pieces, self._learn_pieces)[0] for x in marks.dictionary.to_pylist()]
+        at_odd = len(packed)
+        packed += self._found([x if x[:1] == "\n" else f" {x}" for x in coded.dictionary.filter(pa.array(odd)).to_pylist()], self.chunks, self._learn_chunks)
+        at_first = len(packed)
+        packed += self._found(coded.dictionary.take(pa.array(codes[firsts])).to_pylist(), self.chunks, self._learn_chunks)
+        empty = len(packed)
+        packed += [b"", b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()]
         at = np.flatnonzero(whole)
-        if len(at):
-            for i, ids in zip(at.tolist(), self._each([texts[int(i)].as_py() for i in at]), strict=True):
-                packed[len(chunks) + i] = ids
+        for i, ids in zip(at.tolist(), self._each(texts.take(pa.array(at)).to_pylist()), strict=True):
+            packed[at_first + i] = ids
+        number = lambda column, base, rest: np.where(odd, rest, column.indices.fill_null(0).to_numpy() + base).astype(np.int32)
+        head = number(letters, 0, at_odd + np.cumsum(odd) - 1)
+        tail = number(marks, at_marks, empty)
+        pairs = np.empty((len(codes), 2), dtype=np.int32)
+        pairs[:, 0], pairs[:, 1] = head[codes], tail[codes]
+        pairs[firsts, 0], pairs[firsts, 1] = at_first + np.arange(len(firsts)), empty
+        codes, offsets = pairs.ravel(), offsets * 2
         if end_id is not None:
-            packed.append(np.array([end_id], dtype="<u4").tobytes())
-            codes = np.insert(codes, offsets[1:], len(packed) - 1)
+            codes = np.insert(codes, offsets[1:], empty + 1)
             offsets = offsets + np.arange(len(offsets))
-        sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        sizes = np.fromiter(map(len, packed), dtype=np.int32, count=len(packed)) // 4
         flat = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32)
-        starts = np.cumsum(sizes) - sizes
         of_code = sizes[codes]
-        ends = np.cumsum(of_code)
-        ids = flat[np.repeat(starts[codes] - (ends - of_code), of_code) + np.arange(int(of_code.sum()))]
-        return np.concatenate(([0], ends))[offsets], ids
+        ends = np.cumsum(of_code, dtype=np.int32)
+        shift = (np.cumsum(sizes, dtype=np.int32) - sizes)[codes] - (ends - of_code)
+        at = np.repeat(shift, of_code)
+        at += np.arange(len(at), dtype=np.int32)
+        return np.concatenate(([0], ends))[offsets], flat[at]
 
 
 @lru_cache(maxsize=2)
