@@ -35,8 +35,8 @@ _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _UNSAFE = _WHITE + r"[ \n](?:" + _WHITE + r"|\z)"
 #: Latin or Cyrillic letters, then ASCII punctuation without the apostrophe, which may begin a contraction.
 _SIMPLE = r"^(?P<letters>\n?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2AF}\x{400}-\x{481}]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
-SLICE_BYTES = 4 << 20
-JOINED = 64
+SLICE_BYTES = 6 << 20
+JOINED = 256
 MAX_PIECES = 500_000
 
 
