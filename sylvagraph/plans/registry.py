@@ -39,6 +39,16 @@ def on_graph(name: str, sql: str | None = None) -> Callable[[Callable[[CodeGraph
     return add
 
 
+def on_nodes(name: str, sql: str | None = None) -> Callable[[Callable[[CodeGraph], DataFrame]], Callable[[CodeGraph], DataFrame]]:
+    """Registers a function that reads the nodes only, so links aren't resolved for it."""
+
+    def add(fn: Callable[[CodeGraph], DataFrame]) -> Callable[[CodeGraph], DataFrame]:
+        query(name, sql)(lambda spark, sf_dir: fn(adapter.raw_graph(spark, sf_dir)))
+        return fn
+
+    return add
+
+
 def layered(g: CodeGraph) -> tuple[DataFrame, DataFrame]:
     classified = architecture.classify(g.nodes)
     return classified, architecture.layered_edges(g.links, classified)
@@ -50,7 +60,7 @@ FILES_ONLY = [o.FILES, o.SYMBOLS, o.COMMITS, o.NODES]
 
 
 # Counts and neighbourhoods.
-@on_graph("graph_stats_by_type", o.sql(f"SELECT type, {COUNT} AS n FROM nodes GROUP BY type"))
+@on_nodes("graph_stats_by_type", o.sql(f"SELECT type, {COUNT} AS n FROM nodes GROUP BY type"))
 def _(g):
     return stats.counts_by_type(g.nodes)
 
@@ -91,7 +101,7 @@ def _(spark, sf_dir):
     return adapter.symbols(spark, sf_dir, adapter.files(spark, sf_dir)).select("id", "label", "type", "parent_id")
 
 
-@on_graph("graph_node_scan", o.sql("SELECT id, type, label, id AS file_path, CAST(0 AS BIGINT) AS line, CAST(0 AS BIGINT) AS col FROM nodes WHERE type = 'class'", base=FILES_ONLY))
+@on_nodes("graph_node_scan", o.sql("SELECT id, type, label, id AS file_path, CAST(0 AS BIGINT) AS line, CAST(0 AS BIGINT) AS col FROM nodes WHERE type = 'class'", base=FILES_ONLY))
 def _(g):
     zero = F.lit(0).cast("bigint")
     return g.nodes.filter("type = 'class'").select("id", "type", "label", F.col("id").alias("file_path"), zero.alias("line"), zero.alias("col"))
@@ -102,7 +112,7 @@ def _(g):
     return stats.graph_edges(g.nodes, g.links).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@on_graph("node_search_unranked", o.sql("SELECT id, label FROM nodes WHERE contains(lower(label), 'part_1') OR contains(lower(id), 'part_1') ORDER BY ord, id LIMIT 20", base=FILES_ONLY))
+@on_nodes("node_search_unranked", o.sql("SELECT id, label FROM nodes WHERE contains(lower(label), 'part_1') OR contains(lower(id), 'part_1') ORDER BY ord, id LIMIT 20", base=FILES_ONLY))
 def _(g):
     return search.search(g.nodes, "Part_1").select("id", "label")
 
@@ -122,7 +132,7 @@ NAMED = "named AS MATERIALIZED (SELECT *, split_part(split_part(lower(id), '#',
 PRIORITY = "(CASE type WHEN 'function' THEN 6 WHEN 'class' THEN 5 WHEN 'file' THEN 4 WHEN 'adr' THEN 3 WHEN 'directory' THEN 1 ELSE 2 END)"
 
 
-@on_graph(
+@on_nodes(
     "node_search_ranked",
     o.sql(
         f"SELECT id, label, CAST(score AS INTEGER) AS score FROM (SELECT *, {_score_sql(chr(39) + 'part_11' + chr(39), search.GENERIC, PRIORITY, True)} + {PRIORITY} * 10 + CASE WHEN type IN ('file', 'class', 'function', 'adr') THEN 20 ELSE 0 END AS score FROM named WHERE contains(lower(label), 'part_11') OR contains(lower(id), 'part_11')) ORDER BY score DESC, {PRIORITY} DESC, label, id LIMIT 20",
@@ -163,17 +173,17 @@ def _(g):
 
 
 # Architecture.
-@on_graph("layer_classification", o.sql("SELECT id, layer, reason FROM classified", o.CLASSIFIED, base=FILES_ONLY))
+@on_nodes("layer_classification", o.sql("SELECT id, layer, reason FROM classified", o.CLASSIFIED, base=FILES_ONLY))
 def _(g):
     return architecture.classify(g.nodes).select("id", "layer", "reason")
 
 
-@on_graph("layer_counts", o.sql(f"SELECT layer, {COUNT} AS n FROM classified GROUP BY layer", o.CLASSIFIED, base=FILES_ONLY))
+@on_nodes("layer_counts", o.sql(f"SELECT layer, {COUNT} AS n FROM classified GROUP BY layer", o.CLASSIFIED, base=FILES_ONLY))
 def _(g):
     return architecture.classify(g.nodes).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
 
 
-@on_graph("layer_samples", o.sql("SELECT layer, id FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY ord, id) AS k FROM classified) WHERE k <= 5", o.CLASSIFIED, base=FILES_ONLY))
+@on_nodes("layer_samples", o.sql("SELECT layer, id FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY ord, id) AS k FROM classified) WHERE k <= 5", o.CLASSIFIED, base=FILES_ONLY))
 def _(g):
     return architecture.layer_counts(architecture.classify(g.nodes)).select("layer", F.explode("sample_ids").alias("id"))
 
@@ -215,7 +225,7 @@ def _(spark, sf_dir):
 _COVER = "cover AS (SELECT n.id, p.id IS NOT NULL AS covered FROM nodes n LEFT JOIN nodes p ON p.id = n.parent_id AND p.type = 'directory' WHERE n.type IN ('file', 'adr') AND regexp_replace(n.id, '/[^/]*$', '') <> '/proj')"
 
 
-@on_graph("directory_coverage", o.sql(f"SELECT {BIG('count(*)')} AS expected, {BIG('count(*) FILTER (covered)')} AS covered FROM cover", _COVER, base=FILES_ONLY))
+@on_nodes("directory_coverage", o.sql(f"SELECT {BIG('count(*)')} AS expected, {BIG('count(*) FILTER (covered)')} AS covered FROM cover", _COVER, base=FILES_ONLY))
 def _(g):
     return stats.with_directory_parent(g.nodes, g.root).agg(F.count(F.lit(1)).alias("expected"), F.count_if("covered").alias("covered"))
 
@@ -275,12 +285,12 @@ def _(g):
     return health.high_fan_out_files(stats.degrees(g.nodes, g.links))
 
 
-@on_graph("deep_nesting", o.sql(_DEEP, o.ANCESTRY, base=FILES_ONLY))
+@on_nodes("deep_nesting", o.sql(_DEEP, o.ANCESTRY, base=FILES_ONLY))
 def _(g):
     return health.deep_nesting(traverse.hierarchy_depth(g.nodes))
 
 
-@on_graph("churn_hotspots", o.sql(_HOT, o.DEGREES))
+@on_nodes("churn_hotspots", o.sql(_HOT, o.DEGREES))
 def _(g):
     return health.churn_hotspots(g.nodes)
 
@@ -383,7 +393,7 @@ def _(g):
     return traverse.blast_radius(g.nodes, g.links, stats.top_target(g.nodes, g.links, 3), 2)
 
 
-@on_graph("hierarchy_depth", o.sql(f"SELECT n.id, {BIG('coalesce(d, 0)')} AS depth FROM nodes n LEFT JOIN (SELECT id, count(*) AS d FROM chain GROUP BY id) USING (id)", o.ANCESTRY, base=FILES_ONLY))
+@on_nodes("hierarchy_depth", o.sql(f"SELECT n.id, {BIG('coalesce(d, 0)')} AS depth FROM nodes n LEFT JOIN (SELECT id, count(*) AS d FROM chain GROUP BY id) USING (id)", o.ANCESTRY, base=FILES_ONLY))
 def _(g):
     return traverse.hierarchy_depth(g.nodes).select("id", F.col("depth").cast("bigint").alias("depth"))
 
@@ -403,7 +413,7 @@ def _(g):
 _VISIBLE = "standing AS (SELECT id, CASE WHEN type = 'directory' THEN id ELSE (SELECT arg_min(ancestor, distance) FROM chain c JOIN nodes p ON p.id = c.ancestor AND p.type = 'directory' WHERE c.id = n.id) END AS ancestor FROM nodes n)"
 
 
-@on_graph("visible_ancestor", o.sql("SELECT id, ancestor FROM standing", o.ANCESTRY, _VISIBLE, base=FILES_ONLY))
+@on_nodes("visible_ancestor", o.sql("SELECT id, ancestor FROM standing", o.ANCESTRY, _VISIBLE, base=FILES_ONLY))
 def _(g):
     return traverse.nearest_ancestor(g.nodes, F.col("type") == "directory")
 
@@ -586,7 +596,7 @@ def _best_sql(weights: dict, priority: str, where: str = "true") -> str:
     return f"scored AS MATERIALIZED (SELECT id, type, label, max(text_score + {priority} * 10) AS score FROM ({inner}) WHERE text_score > 0 GROUP BY id, type, label)"
 
 
-@on_graph("target_candidates", o.sql(f"SELECT id, CAST(score AS INTEGER) AS score FROM scored ORDER BY score DESC, {PRIORITY} DESC, label, id LIMIT 6", NAMED, _best_sql(search.TASK, PRIORITY), base=FILES_ONLY))
+@on_nodes("target_candidates", o.sql(f"SELECT id, CAST(score AS INTEGER) AS score FROM scored ORDER BY score DESC, {PRIORITY} DESC, label, id LIMIT 6", NAMED, _best_sql(search.TASK, PRIORITY), base=FILES_ONLY))
 def _(g):
     return search.target_candidates(g.nodes, _queries(g.nodes)).select("id", "score")
 
@@ -594,7 +604,7 @@ def _(g):
 _P2 = "(CASE type WHEN 'file' THEN 5 WHEN 'class' THEN 4 WHEN 'function' THEN 3 ELSE 1 END)"
 
 
-@on_graph("campaign_seeds", o.sql(f"SELECT id FROM (SELECT * FROM scored ORDER BY score DESC, {_P2} DESC, label, id LIMIT 30) ORDER BY score DESC, id LIMIT 10", NAMED, _best_sql(search.CAMPAIGN, _P2, "type IN ('file', 'class', 'function')"), base=FILES_ONLY))
+@on_nodes("campaign_seeds", o.sql(f"SELECT id FROM (SELECT * FROM scored ORDER BY score DESC, {_P2} DESC, label, id LIMIT 30) ORDER BY score DESC, id LIMIT 10", NAMED, _best_sql(search.CAMPAIGN, _P2, "type IN ('file', 'class', 'function')"), base=FILES_ONLY))
 def _(g):
     return project.campaign_seeds(g.nodes, architecture.classify(g.nodes), _queries(g.nodes)).select("id")
 
@@ -640,7 +650,7 @@ def _(g):
     return project.foundations(stats.degrees(g.nodes, g.links), architecture.classify(g.nodes))
 
 
-@on_graph("primary_technologies", o.sql(f"SELECT CASE ext WHEN '.ts' THEN 'TypeScript' WHEN '.tsx' THEN 'TypeScript' WHEN '.md' THEN 'Markdown' ELSE 'Other' END AS name, {COUNT} AS n FROM fx_files GROUP BY 1 ORDER BY n DESC, name LIMIT 5", base=[o.FILES]))
+@on_nodes("primary_technologies", o.sql(f"SELECT CASE ext WHEN '.ts' THEN 'TypeScript' WHEN '.tsx' THEN 'TypeScript' WHEN '.md' THEN 'Markdown' ELSE 'Other' END AS name, {COUNT} AS n FROM fx_files GROUP BY 1 ORDER BY n DESC, name LIMIT 5", base=[o.FILES]))
 def _(g):
     return project.technologies(g.nodes)
 
@@ -667,7 +677,7 @@ def _(spark, sf_dir):
     return project.version_diff(raw.links, done.links, ["source", "target"])
 
 
-@on_graph("node_table_export_json", o.sql("SELECT '{\"id\":\"' || id || '\",\"type\":\"' || type || '\",\"label\":\"' || label || '\",\"filePath\":\"' || id || '\"}' AS line FROM nodes", base=FILES_ONLY))
+@on_nodes("node_table_export_json", o.sql("SELECT '{\"id\":\"' || id || '\",\"type\":\"' || type || '\",\"label\":\"' || label || '\",\"filePath\":\"' || id || '\"}' AS line FROM nodes", base=FILES_ONLY))
 def _(g):
     return g.nodes.select(F.to_json(F.struct("id", "type", "label", F.col("id").alias("filePath"))).alias("line"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvagraph.functions.paths import ancestors, basename, dirname
+from sylvagraph.lineage import cut
 from sylvagraph.operators.resolve import resolve_links
 from sylvagraph.schema import CodeGraph
 from sylvagraph.sources.tables import read_table
@@ -103,9 +104,10 @@ def raw_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    """The graph with resolved links."""
+    """The graph with resolved links. Its tables are checkpointed, since every analysis reads them several times."""
     raw = raw_graph(spark, sf_dir)
-    return CodeGraph(raw.nodes, resolve_links(raw.nodes, raw.links), raw.root)
+    nodes = cut(raw.nodes)
+    return CodeGraph(nodes, cut(resolve_links(nodes, cut(raw.links))), raw.root)
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
