@@ -1,6 +1,7 @@
 """The engine's tools, resources and composite contexts.
 
-Each tool takes a graph and returns plain dicts and lists of bounded size; everything before the last collect is a DataFrame.
+Each tool takes a graph and returns plain dicts and lists; everything before the last collect is a DataFrame. Lists are whole, but for
+the full graph (with its truncated flag) and where a tool takes a limit.
 Messages are codes. Classifications, edges and degrees are computed once a call.
 """
 
@@ -19,8 +20,8 @@ from sylvagraph.schema import CodeGraph
 Texts = DataFrame | None
 
 
-def _rows(df: DataFrame, most: int = 1000) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.limit(most).collect()]
+def _rows(df: DataFrame, most: int | None = None) -> list[dict]:
+    return [r.asDict(recursive=True) for r in (df if most is None else df.limit(most)).collect()]
 
 
 def _one(graph: CodeGraph, node_id: str) -> DataFrame:
@@ -55,7 +56,7 @@ def get_graph_context(graph: CodeGraph, include_full_graph: bool = False) -> dic
 
 
 def get_node_dependencies(graph: CodeGraph, node_id: str) -> dict:
-    rows = _rows(stats.dependencies(graph.links, _one(graph, node_id)))
+    rows = _rows(stats.dependencies(graph.links, _one(graph, node_id)).orderBy("direction", "other", "type"))
     return {"dependencies": [r for r in rows if r["direction"] == "out"], "dependents": [r for r in rows if r["direction"] == "in"]}
 
 
