@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvagraph.llm import bpe, mixing, quality, simhash
+from sylvagraph.llm import bpe, jaccard, mixing, quality
 from sylvagraph.llm.common import shared_dir
 from sylvagraph.sources.tables import read_table
 
@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates on five-word shingles, that of the smallest id."""
-    return simhash.deduplicated(docs)
+    """One document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles, that of the smallest id."""
+    return jaccard.deduplicated(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
