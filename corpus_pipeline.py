@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylvagraph.llm import bpe, jaccard, mixing, quality
@@ -32,12 +32,26 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mixed(docs)
 
 
+def positioned(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``position``: the rows of all files before (``part-NNNNN`` by NNNNN), then the row's index in its file."""
+    name = F.col("_metadata.file_name")
+    part = F.struct(F.regexp_extract(name, r"^part-(\d+)", 1).cast("bigint").alias("part"), name.alias("name"))
+    rows = docs.select("*", part.alias("mix_file"), F.col("_metadata.row_index").alias("mix_index"))
+    # One row a file.
+    before = Window.orderBy("mix_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("mix_file").agg(F.count(F.lit(1)).alias("n")).select("mix_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_base"))
+    return rows.join(F.broadcast(files), "mix_file").select(*docs.columns, (F.col("mix_base") + F.col("mix_index")).alias("position"))
+
+
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, token_ids (packed little-endian unsigned 32-bit integers) and digests of the ids and of the decoded bytes."""
+    """doc_id, source, position, n_tokens, token_ids (packed little-endian unsigned 32-bit integers) and digests of the ids and of the decoded bytes.
+
+    ``position`` (from 0) is the row's place in the mixed order of ``docs``, which must be read from the files of the mixing stage.
+    """
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(docs, ranks, pattern, keep=["doc_id", "source"]), ranks, pattern)
+    both = bpe.decode(bpe.encode(positioned(docs), ranks, pattern, keep=["doc_id", "source", "position"]), ranks, pattern)
     return both.select(
-        "doc_id", "source", (F.length("token_ids") / 4).cast("bigint").alias("n_tokens"), "token_ids",
+        "doc_id", "source", "position", (F.length("token_ids") / 4).cast("bigint").alias("n_tokens"), "token_ids",
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
