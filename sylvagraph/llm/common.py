@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,16 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_path = path
+    return found
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes the files of a table that ``stored`` wrote and nothing will read again."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -69,3 +79,25 @@ def free_name(df: DataFrame, base: str) -> str:
 def crc32_of_id(column: str | Column) -> Column:
     """crc32 of an id written as decimal text."""
     return F.crc32((F.col(column) if isinstance(column, str) else column).cast("string").cast("binary"))
+
+
+def shingle_hashes(words: list[bytes], shingle_words: int, seed: int) -> np.ndarray:
+    """The XXH64 of each space-joined run of ``shingle_words`` words, repeats included; fewer words are one run."""
+    from xxhash import xxh64_intdigest
+
+    joined = b" ".join(words)
+    if len(words) <= shingle_words:
+        return np.array([xxh64_intdigest(joined, seed)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle_words + 1].tolist()
+    stops = (ends[shingle_words - 1 :] - 1).tolist()
+    return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The 64-bit number with the bits that over half of the hashes have."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])

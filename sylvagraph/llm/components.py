@@ -1,35 +1,47 @@
-"""Connected components of an edge table, in Spark throughout.
+"""Connected components of an edge table, in Spark throughout, by small and large stars.
 
-Each round every node moves to the smallest of itself and its neighbours, then to where that one moves
-(pointer jumping); the edges are contracted along these moves and those inside one node vanish. The
-smallest node of a component never moves, so it is what remains. Each round is a reliable
-checkpoint. A hub's edges meet the hub's one row in a join, whose large side adaptive execution can
-split; minima are combined before they are shuffled.
+Edges point from a node to a smaller one. Small star: of a node's smaller neighbours all, and the node, move to the smallest. Large star: an
+edge to a node that itself points lower goes there instead. When neither changes anything, each node that isn't the smallest
+of its component has one edge, to the smallest. A round is one job of four exchanges and one written table; the table of the round before is deleted.
+A node that many point to is the key of rows of two longs, never a list; merge joins need no memory of the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from sylvagraph.llm.common import cut
+from sylvagraph.llm.common import discarded, stored
+
+#: Small tables are written as few files, so that later rounds have few tasks.
+ROWS_A_FILE = 500_000
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """``node`` and ``root``, the smallest node of its component, for each node of an edge. Nulls touch nothing."""
-    edges = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
-    labels = None
-    while labels is None or not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")))
-        moves = cut(_moved(least, least))
-        labels = moves if labels is None else cut(_moved(labels, moves))
-        ends = edges.join(moves.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(moves.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
-        edges = cut(ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return labels
-
-
-def _moved(labels: DataFrame, moves: DataFrame) -> DataFrame:
-    """``labels`` with each root replaced by where ``moves`` sends it."""
-    to = moves.select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return labels.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    """``node`` and ``root``, the smallest node of its component, for each node of an edge but the roots themselves. Nulls touch nothing."""
+    a, b = F.col(src), F.col(dst)
+    now = stored(edges.filter(a != b).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")))
+    state = _state(now)
+    while state.n:
+        after = stored(_large_star(_small_star(now)).distinct().coalesce(1 + state.n // ROWS_A_FILE))
+        discarded(now)
+        now, before, state = after, state, _state(after)
+        if state == before:
+            break
+    return now
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    least = F.min("root").over(Window.partitionBy("node"))
+    moved = F.when(F.col("root") == F.col("least"), F.col("node")).otherwise(F.col("root"))
+    return edges.withColumn("least", least).select(moved.alias("node"), F.col("least").alias("root"))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    lower = edges.groupBy(F.col("node").alias("root")).agg(F.min("root").alias("lower"))
+    return edges.join(lower.hint("merge"), "root", "left").select("node", F.coalesce("lower", "root").alias("root"))
+
+
+def _state(edges: DataFrame) -> Row:
+    """The number of edges and a checksum."""
+    return edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node, root))").alias("sum")).first()

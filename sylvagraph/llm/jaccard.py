@@ -1,4 +1,4 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles (the pipeline's stage).
+"""Links of texts by the exact Jaccard similarity of word shingles (for the pipeline's near-duplicate stage).
 
 Words and shingles are those of operator 6, each distinct shingle counted once. Texts with the same shingles are one node. Two nodes
 are linked if their Jaccard similarity is ``similarity`` or more; groups are what links connect.
@@ -8,24 +8,25 @@ n - ceil(similarity * n) + 1 of each (prefix filter), the first such leaves enou
 (length filter). The order begins with rare shingles, as seen in a sample: the sample decides how many candidates there are, not which links are found.
 Every candidate is verified by the shingles of both texts.
 
-Large groups of near copies share shingles by the thousand. So each shingle's nodes are verified against one of them first, and then
-only pairs that these links leave in different groups.
+Large groups of near copies share shingles by the thousand. So each shingle's nodes are verified against one of them first, together with
+the candidates that the caller has, and then only pairs that these links leave in different groups.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvagraph.llm.common import arrow_map, free_name, stored, text_bytes
+from sylvagraph.llm.common import arrow_map, majority_bits, shingle_hashes, stored, text_bytes
 from sylvagraph.llm.components import connected_components
+from sylvagraph.llm.vectors import slices
 
 #: The sample that tells frequent shingles: so many rows; seen in so many of them; the table's size.
 SAMPLE_ROWS, SEEN, FREQUENT = 10_000, 4, 1 << 18
@@ -33,16 +34,7 @@ SAMPLE_ROWS, SEEN, FREQUENT = 10_000, 4, 1 << 18
 
 def shingles_of(text: bytes, shingle_words: int = 5, seed: int = 42) -> np.ndarray:
     """The sorted distinct XXH64 of the word shingles of UTF-8 text; fewer words than a shingle are one."""
-    from xxhash import xxh64_intdigest
-
-    words = text.lower().split()
-    joined = b" ".join(words)
-    if len(words) <= shingle_words:
-        return np.array([xxh64_intdigest(joined, seed)], dtype=np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle_words + 1].tolist()
-    stops = (ends[shingle_words - 1 :] - 1).tolist()
-    return np.unique(np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64))
+    return np.unique(shingle_hashes(text.lower().split(), shingle_words, seed))
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: Fraction) -> bool:
@@ -56,9 +48,10 @@ def _frequent(df: DataFrame, text_col: str, shingle_words: int, seed: int) -> np
     some = df.select(text_col).sample(min(1.0, SAMPLE_ROWS / max(rows, 1)), seed=seed)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        found = [shingles_of(x, shingle_words, seed) for x in text_bytes(batch.column(text_col))]
-        values, n = np.unique(np.concatenate(found), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+        for part in slices(batch, 500):
+            found = [shingles_of(x, shingle_words, seed) for x in text_bytes(part.column(text_col))]
+            values, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
 
     counts = arrow_map(some, run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= SEEN)
     top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
@@ -67,34 +60,44 @@ def _frequent(df: DataFrame, text_col: str, shingle_words: int, seed: int) -> np
     return np.stack((values[order], n[order]))
 
 
-def _signatures(df: DataFrame, row: str, id_col: str, text_col: str, similarity: Fraction, shingle_words: int, seed: int, frequent: Broadcast) -> DataFrame:
-    """row, id, node (a hash of all shingles), size and prefix (the first shingles in order) of each row of ``df``."""
+def signatures(df: DataFrame, row: str, id_col: str, text_col: str, similarity: Fraction, shingle_words: int, seed: int) -> DataFrame:
+    """row, id, node (a hash of all shingles), size, prefix (the first shingles in order) and bits (the SimHash of all shingles) of each row of ``df``."""
+    frequent = df.sparkSession.sparkContext.broadcast(_frequent(df, text_col, shingle_words, seed))
+    schema = T.StructType([
+        T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()),
+        T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.LongType()),
+    ])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        known, counts = frequent.value
-        nodes, sizes, prefixes = [], [], []
-        for text in text_bytes(batch.column(text_col)):
-            found = shingles_of(text, shingle_words, seed)
-            nodes.append(xxh64_intdigest(found.tobytes(), seed))
-            sizes.append(len(found))
-            if len(known):
-                at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                found = found[np.lexsort((found, np.where(known[at] == found, counts[at], 0)))]
-            least = -(-similarity.numerator * len(found) // similarity.denominator)
-            prefixes.append(found[: len(found) - least + 1].view(np.int64))
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(row), batch.column(id_col), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists],
-            names=["row", "id", "node", "size", "prefix"],
-        )
-
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+        for part in slices(batch, 1000):
+            yield _signed(part, row, id_col, text_col, similarity, shingle_words, seed, frequent)
+
     return arrow_map(df.select(row, id_col, text_col), run, schema)
 
 
+def _signed(batch: pa.RecordBatch, row: str, id_col: str, text_col: str, similarity: Fraction, shingle_words: int, seed: int, frequent: Broadcast) -> pa.RecordBatch:
+    from xxhash import xxh64_intdigest
+
+    known, counts = frequent.value
+    nodes, sizes, prefixes, bits = [], [], [], []
+    for text in text_bytes(batch.column(text_col)):
+        words = text.lower().split()
+        hashes = shingle_hashes(words, shingle_words, seed)
+        bits.append(majority_bits(hashes) if words else 0)
+        found = np.unique(hashes)
+        nodes.append(xxh64_intdigest(found.tobytes(), seed))
+        sizes.append(len(found))
+        if len(known):
+            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            found = found[np.lexsort((found, np.where(known[at] == found, counts[at], 0)))]
+        least = -(-similarity.numerator * len(found) // similarity.denominator)
+        prefixes.append(found[: len(found) - least + 1].view(np.int64))
+    longs = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
+    return pa.RecordBatch.from_arrays([batch.column(row), batch.column(id_col), longs(nodes), pa.array(sizes, pa.int32()), lists, longs(bits)], names=["row", "id", "node", "size", "prefix", "bits"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction, shingle_words: int, seed: int) -> DataFrame:
     """The ``pairs`` (src, dst) of nodes that are links, by the ``texts`` (node, text) of the nodes."""
 
@@ -109,56 +112,42 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction, shingle_w
                 keep.append(alike(mine, shingles_of(y, shingle_words, seed), similarity))
             yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    # Only texts of candidates are shuffled; the order by src saves most of its shingles.
-    asked = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    wanted = stored(texts.join(asked, "node").select("node", "text"))
-    both = pairs.join(wanted.select(F.col("node").alias("dst"), F.col("text").alias("b")), "dst").join(wanted.select(F.col("node").alias("src"), F.col("text").alias("a")), "src")
+    # The order by src saves most of its shingles.
+    named = lambda node, text: texts.select(F.col("node").alias(node), F.col("text").alias(text)).hint("merge")
+    both = pairs.join(named("dst", "b"), "dst").join(named("src", "a"), "src")
     return both.select("src", "dst", "a", "b").mapInArrow(run, "src bigint, dst bigint")
 
 
-def links(nodes: DataFrame, texts: DataFrame, similarity: Fraction, shingle_words: int = 5, seed: int = 42) -> DataFrame:
-    """Links (src, dst) that connect just what all links connect. ``nodes``: node, size, prefix; ``texts``: node, text."""
+def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], candidates: DataFrame, similarity: Fraction, shingle_words: int = 5, seed: int = 42) -> DataFrame:
+    """Links (src, dst) that connect just what all links connect.
+
+    ``nodes``: node, size, prefix; ``texts``: gives node and text of the nodes of a table; ``candidates``: src < dst, pairs to verify besides those of the prefix filter.
+    """
     filed = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
     # Keys of one node link nothing.
-    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
-    filed = stored(filed.join(shared.select("key", "first"), "key"))
+    of_key = Window.partitionBy("key")
+    filed = stored(filed.withColumn("first", F.min("node").over(of_key)).withColumn("last", F.max("node").over(of_key)).filter("first != last").drop("last"))
     p, q = similarity.numerator, similarity.denominator
     near_size = lambda a, b: F.least(a, b) * q >= F.greatest(a, b) * p
-    ordered = lambda a, b: (F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
 
-    sizes = filed.select("node", "size").distinct()
-    stars = filed.filter("node != first").select(F.col("first").alias("src"), F.col("node").alias("dst"), "size").distinct()
-    stars = stars.join(sizes.select(F.col("node").alias("src"), F.col("size").alias("src_size")), "src").filter(near_size(F.col("size").cast("bigint"), F.col("src_size").cast("bigint")))
-    first = stored(verified(stored(stars.select("src", "dst")), texts, similarity, shingle_words, seed))
+    sizes = nodes.select(F.col("node").alias("src"), F.col("size").cast("bigint").alias("src_size"))
+    stars = filed.filter("node != first").select(F.col("first").alias("src"), F.col("node").alias("dst"), F.col("size").cast("bigint").alias("size")).distinct()
+    stars = stars.join(sizes.hint("merge"), "src").filter(near_size(F.col("size"), F.col("src_size"))).select("src", "dst")
+    tried = stored(stars.unionByName(candidates).distinct())
+    # All texts are shuffled once, those of candidates again.
+    asked = filed.select("node").unionByName(tried.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
+    wanted = stored(texts(asked))
+    first = stored(verified(tried, wanted, similarity, shingle_words, seed))
 
     roots = connected_components(first)
-    rooted = filed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    rest = stored(rooted.join(mixed, "key").select("key", "node", "size", "pos", "root"))
-    a, b = rest.alias("a"), rest.alias("b")
+    rooted = filed.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.withColumn("low", F.min("root").over(of_key)).withColumn("high", F.max("root").over(of_key)).filter("low != high")
+    rest = stored(mixed.select("key", "node", "size", "pos", "root"))
+    a, b = rest.alias("a"), rest.alias("b").hint("merge")
     size_a, size_b = F.col("a.size").cast("bigint"), F.col("b.size").cast("bigint")
     # The first shingle in common has none in common before it.
     left = 1 + F.least(size_a - F.col("a.pos") - 1, size_b - F.col("b.pos") - 1)
     fits = near_size(size_a, size_b) & (left * (p + q) >= (size_a + size_b) * p)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & fits).select(*ordered("a.node", "b.node")).distinct()
-    tried = stored(pairs.join(stars.select(*ordered("src", "dst")), ["src", "dst"], "left_anti"))
-    return first.unionByName(verified(tried, texts, similarity, shingle_words, seed))
-
-
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: Fraction = Fraction(4, 5), shingle_words: int = 5, seed: int = 42) -> DataFrame:
-    """One row of each group, with all columns of ``df``: that of the smallest id; of rows that repeat it, any one.
-
-    A group whose ids are all null keeps one of its rows.
-    """
-    row = free_name(df, "row_key")
-    keyed = df.withColumn(row, F.xxhash64(id_col, text_col))
-    frequent = df.sparkSession.sparkContext.broadcast(_frequent(df, text_col, shingle_words, seed))
-    rows = stored(_signatures(keyed, row, id_col, text_col, similarity, shingle_words, seed, frequent))
-    # Of each node the row that stands for it: the smallest id, nulls last.
-    nodes = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
-    stands = nodes.select("node", F.col("best.row").alias(row))
-    texts = keyed.select(row, F.col(text_col).alias("text")).join(stands, row).select("node", "text").dropDuplicates(["node"])
-    roots = connected_components(stored(links(nodes, texts, similarity, shingle_words, seed)))
-    grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keep = stored(grouped.groupBy("root").agg(F.min("best.row").alias("unused"), F.min("best").alias("best")).select(F.col("best.row").alias(row)))
-    return keyed.join(keep, row).dropDuplicates([row]).select(*df.columns)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & fits).select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
+    later = stored(pairs.join(tried.hint("merge"), ["src", "dst"], "left_anti"))
+    return first.unionByName(verified(later, wanted, similarity, shingle_words, seed))

@@ -14,7 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylvagraph.llm import bpe, classlm, htmltext, mixing, oracle, pq, quality, queries, simhash, tokenfile, topk, urlfilter
+from sylvagraph.llm.components import connected_components
 from tests.conftest import rows
+from tests.llm.test_jaccard import plain_kept
 
 RANKS, JSON, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 ODD = [None, "", " ", "   ", "a", "The same\nThe same", "naïve  café\t\n", "x" * 5000, "word " * 3000, "a\n\n\nb", "'s don't  \n", "漢字🙂 12.5"]
@@ -105,8 +107,8 @@ def plain_components(values, radius):
     return label
 
 
-@pytest.mark.parametrize("pair_limit", [1, 256])
-def test_hamming_links_connect_what_pairs_connect(spark, pair_limit):
+@pytest.mark.parametrize("pair_limit,segments", [(1, 3), (256, 3), (256, 2), (1, 2)])
+def test_hamming_links_connect_what_pairs_connect(spark, pair_limit, segments):
     rng = random.Random(3)
     values = [rng.getrandbits(64) for _ in range(12)]
     for _ in range(60):
@@ -115,11 +117,25 @@ def test_hamming_links_connect_what_pairs_connect(spark, pair_limit):
             value ^= 1 << bit
         values.append(value)
     prints = spark.createDataFrame([(i, simhash.signed(v)) for i, v in enumerate(values)], "id long, bits long")
-    groups = simhash.grouped(prints, "id", pair_limit=pair_limit)
+    groups = simhash.grouped(prints, "id", pair_limit=pair_limit, segments=segments)
     found = {r.id: r.component_id for r in prints.join(groups, "bits").collect()}
     assert [found[i] for i in range(len(values))] == plain_components(values, 4)
 
 
+def test_components_of_chains_stars_and_nulls(spark):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + i, 199 + 3 * i) for i in range(1, 9)] + [(None, 3), (7, 7), (500, 501), (501, 500)]
+    edges += [(rng.randint(1000, 1060), rng.randint(1000, 1060)) for _ in range(40)]
+    label = {x: x for e in edges for x in e if x is not None}
+    for _ in range(len(label)):
+        for a, b in edges:
+            if a is not None and b is not None:
+                label[a] = label[b] = min(label[a], label[b])
+    found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert found == {x: root for x, root in label.items() if x != root}
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
 def test_deduplication_keeps_one_of_each_group(spark):
     text = " ".join(f"w{i}" for i in range(80))
     df = documents(spark, [text, text, text + " end", None, "", "other words here", *[f"unique text number {i} of several" for i in range(5)]])
@@ -277,10 +293,8 @@ def test_pipeline(spark, sf_dir):
     scores = {r.doc_id: r.predicted for r in queries.op4_quality_discriminant(spark, sf_dir).collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}
     good = sorted(i for i, p in scores.items() if p)
-    prints = [plain_fingerprint(texts[i], 5) for i in good]
-    label = plain_components(prints, 4)
-    wanted = [good[i] for i in range(len(good)) if label[i] == i]
+    wanted = [good[i] for i in plain_kept([texts[i] for i in good])]
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted(r.doc_id for r in got) == wanted
     codec = bpe.codec(RANKS, PATTERN)
-    assert all(r.n_tokens == len(codec.encode(texts[r.doc_id] or "")) for r in got[:20])
+    assert all(r.n_tokens == len(codec.encode(texts[r.doc_id] or "")) for r in got)
