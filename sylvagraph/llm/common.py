@@ -16,12 +16,14 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset (tests), one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own, but only with a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         own = context._jsc.sc().getCheckpointDir()
         if own.isEmpty():
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="sylvagraph-"))
             own = context._jsc.sc().getCheckpointDir()
         found = own.get()

@@ -2,8 +2,9 @@
 
 Edges point from a node to a smaller one. Small star: of a node's smaller neighbours all, and the node, move to the smallest. Large star: an
 edge to a node that itself points lower goes there instead. When neither changes anything, each node that isn't the smallest
-of its component has one edge, to the smallest. A round is one job of four exchanges and one written table; the table of the round before is deleted.
-A node that many point to is the key of rows of two longs, never a list; merge joins need no memory of the driver.
+of its component has one edge, to the smallest. Each half of a round is a written table; those of the round before are deleted.
+A node that many point to is the key of rows of two longs, never a list; its rows meet its one row in a merge join of two plain tables, which
+adaptive execution splits and which needs no memory of the driver.
 """
 
 from __future__ import annotations
@@ -23,8 +24,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     now = stored(edges.filter(a != b).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")))
     state = _state(now)
     while state.n:
-        after = stored(_large_star(_small_star(now)).distinct().coalesce(1 + state.n // ROWS_A_FILE))
-        discarded(now)
+        files = 1 + state.n // ROWS_A_FILE
+        small = stored(_small_star(now).coalesce(files))
+        lower = stored(small.groupBy(F.col("node").alias("root")).agg(F.min("root").alias("lower")).coalesce(files))
+        large = small.join(lower.hint("merge"), "root", "left").select("node", F.coalesce("lower", "root").alias("root"))
+        after = stored(large.distinct().coalesce(files))
+        for table in (now, small, lower):
+            discarded(table)
         now, before, state = after, state, _state(after)
         if state == before:
             break
@@ -37,11 +43,6 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return edges.withColumn("least", least).select(moved.alias("node"), F.col("least").alias("root"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    lower = edges.groupBy(F.col("node").alias("root")).agg(F.min("root").alias("lower"))
-    return edges.join(lower.hint("merge"), "root", "left").select("node", F.coalesce("lower", "root").alias("root"))
-
-
 def _state(edges: DataFrame) -> Row:
     """The number of edges and a checksum."""
     return edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node, root))").alias("sum")).first()

@@ -6,7 +6,8 @@ are linked if their Jaccard similarity is ``similarity`` or more; groups are wha
 Candidates lose no link: in any one order of all shingles, two sets that similar share one among the first
 n - ceil(similarity * n) + 1 of each (prefix filter), the first such leaves enough behind it (positional filter), and their sizes are as near
 (length filter). The order begins with rare shingles, as seen in a sample: the sample decides how many candidates there are, not which links are found.
-Every candidate is verified by the shingles of both texts.
+Every candidate must pass a bound from sketches, small bitmaps of the shingles: a bit that only one of two sets has stands for a shingle that only
+that one has. Those that do are verified by the shingles of both texts.
 
 Large groups of near copies share shingles by the thousand. So each shingle's nodes are verified against one of them first, together with
 the candidates that the caller has, and then only pairs that these links leave in different groups.
@@ -61,11 +62,11 @@ def _frequent(df: DataFrame, text_col: str, shingle_words: int, seed: int) -> np
 
 
 def signatures(df: DataFrame, row: str, id_col: str, text_col: str, similarity: Fraction, shingle_words: int, seed: int) -> DataFrame:
-    """row, id, node (a hash of all shingles), size, prefix (the first shingles in order) and bits (the SimHash of all shingles) of each row of ``df``."""
+    """row, id, node (a hash of all shingles), size, prefix (the first shingles in order), sketch and bits (the SimHash of all shingles) of each row of ``df``."""
     frequent = df.sparkSession.sparkContext.broadcast(_frequent(df, text_col, shingle_words, seed))
     schema = T.StructType([
         T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()),
-        T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.LongType()),
+        T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("bits", T.LongType()),
     ])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -79,7 +80,7 @@ def _signed(batch: pa.RecordBatch, row: str, id_col: str, text_col: str, similar
     from xxhash import xxh64_intdigest
 
     known, counts = frequent.value
-    nodes, sizes, prefixes, bits = [], [], [], []
+    nodes, sizes, prefixes, sketches, bits = [], [], [], [], []
     for text in text_bytes(batch.column(text_col)):
         words = text.lower().split()
         hashes = shingle_hashes(words, shingle_words, seed)
@@ -87,6 +88,7 @@ def _signed(batch: pa.RecordBatch, row: str, id_col: str, text_col: str, similar
         found = np.unique(hashes)
         nodes.append(xxh64_intdigest(found.tobytes(), seed))
         sizes.append(len(found))
+        sketches.append(sketch_of(found))
         if len(known):
             at = np.minimum(np.searchsorted(known, found), len(known) - 1)
             found = found[np.lexsort((found, np.where(known[at] == found, counts[at], 0)))]
@@ -95,7 +97,44 @@ def _signed(batch: pa.RecordBatch, row: str, id_col: str, text_col: str, similar
     longs = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
-    return pa.RecordBatch.from_arrays([batch.column(row), batch.column(id_col), longs(nodes), pa.array(sizes, pa.int32()), lists, longs(bits)], names=["row", "id", "node", "size", "prefix", "bits"])
+    return pa.RecordBatch.from_arrays([batch.column(row), batch.column(id_col), longs(nodes), pa.array(sizes, pa.int32()), lists, pa.array(sketches, pa.binary()), longs(bits)], names=["row", "id", "node", "size", "prefix", "sketch", "bits"])
+
+
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """A bitmap of the shingles' last bits, of as many bits as shingles at least, and a power of two."""
+    size = max(64, 1 << (len(shingles) - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_be_alike(a: bytes, b: bytes, a_size: int, b_size: int, similarity: Fraction) -> bool:
+    """False if sizes or sketches rule it out."""
+    p, q = similarity.numerator, similarity.denominator
+    if min(a_size, b_size) * q < max(a_size, b_size) * p:
+        return False
+    x, y, n, m = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a), 8 * len(b)
+    while n > m:
+        n //= 2
+        x = (x | x >> n) & ((1 << n) - 1)
+    while m > n:
+        m //= 2
+        y = (y | y >> m) & ((1 << m) - 1)
+    both = min(a_size - (x & ~y).bit_count(), b_size - (y & ~x).bit_count())
+    return both * q >= p * (a_size + b_size - both)
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, similarity: Fraction) -> DataFrame:
+    """The ``pairs`` that sizes and sketches don't rule out."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        columns = [batch.column(c).to_pylist() for c in ("a", "b", "a_size", "b_size")]
+        keep = [may_be_alike(*row, similarity) for row in zip(*columns, strict=True)]
+        yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    named = lambda node, c: nodes.select(F.col("node").alias(node), F.col("sketch").alias(c), F.col("size").alias(f"{c}_size")).hint("merge")
+    both = pairs.join(named("dst", "b"), "dst").join(named("src", "a"), "src")
+    return arrow_map(both.select("src", "dst", "a", "b", "a_size", "b_size"), run, "src bigint, dst bigint")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction, shingle_words: int, seed: int) -> DataFrame:
@@ -121,23 +160,16 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction, shingle_w
 def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], candidates: DataFrame, similarity: Fraction, shingle_words: int = 5, seed: int = 42) -> DataFrame:
     """Links (src, dst) that connect just what all links connect.
 
-    ``nodes``: node, size, prefix; ``texts``: gives node and text of the nodes of a table; ``candidates``: src < dst, pairs to verify besides those of the prefix filter.
+    ``nodes``: node, size, prefix, sketch; ``texts``: gives node and text of the nodes of a table; ``candidates``: src < dst, pairs to verify besides those of the prefix filter.
     """
     filed = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "key"))
     # Keys of one node link nothing.
     of_key = Window.partitionBy("key")
     filed = stored(filed.withColumn("first", F.min("node").over(of_key)).withColumn("last", F.max("node").over(of_key)).filter("first != last").drop("last"))
     p, q = similarity.numerator, similarity.denominator
-    near_size = lambda a, b: F.least(a, b) * q >= F.greatest(a, b) * p
-
-    sizes = nodes.select(F.col("node").alias("src"), F.col("size").cast("bigint").alias("src_size"))
-    stars = filed.filter("node != first").select(F.col("first").alias("src"), F.col("node").alias("dst"), F.col("size").cast("bigint").alias("size")).distinct()
-    stars = stars.join(sizes.hint("merge"), "src").filter(near_size(F.col("size"), F.col("src_size"))).select("src", "dst")
-    tried = stored(stars.unionByName(candidates).distinct())
-    # All texts are shuffled once, those of candidates again.
-    asked = filed.select("node").unionByName(tried.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
-    wanted = stored(texts(asked))
-    first = stored(verified(tried, wanted, similarity, shingle_words, seed))
+    stars = filed.filter("node != first").select(F.col("first").alias("src"), F.col("node").alias("dst"))
+    tried = stored(plausible(stars.unionByName(candidates).distinct(), nodes, similarity))
+    first = stored(verified(tried, _texts_of(tried, texts), similarity, shingle_words, seed))
 
     roots = connected_components(first)
     rooted = filed.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -147,7 +179,12 @@ def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], candidates:
     size_a, size_b = F.col("a.size").cast("bigint"), F.col("b.size").cast("bigint")
     # The first shingle in common has none in common before it.
     left = 1 + F.least(size_a - F.col("a.pos") - 1, size_b - F.col("b.pos") - 1)
-    fits = near_size(size_a, size_b) & (left * (p + q) >= (size_a + size_b) * p)
+    fits = (F.least(size_a, size_b) * q >= F.greatest(size_a, size_b) * p) & (left * (p + q) >= (size_a + size_b) * p)
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & fits).select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
-    later = stored(pairs.join(tried.hint("merge"), ["src", "dst"], "left_anti"))
-    return first.unionByName(verified(later, wanted, similarity, shingle_words, seed))
+    later = stored(plausible(pairs.join(tried.hint("merge"), ["src", "dst"], "left_anti"), nodes, similarity))
+    return first.unionByName(verified(later, _texts_of(later, texts), similarity, shingle_words, seed))
+
+
+def _texts_of(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Texts of candidates, stored: only these are shuffled by pairs."""
+    return stored(texts(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()))

@@ -1,6 +1,7 @@
 """The pipeline's near-duplicate stage against brute force."""
 
 import random
+from fractions import Fraction
 
 import corpus_pipeline
 import pytest
@@ -53,3 +54,16 @@ def test_near_duplicate_stage_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, "c"), (3, "c"), (3, "d")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [(0, "a b"), (3, "c"), (3, "d")]
     assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_sketches_rule_out_no_link():
+    rng = random.Random(9)
+    ruled_out = 0
+    for _ in range(2000):
+        a = [f"w{i}" for i in range(rng.randint(6, 700))]
+        b = changed(rng, a, rng.randint(0, max(1, len(a) // 8))) + [f"x{i}" for i in range(rng.randint(0, len(a) // 5))]
+        x, y = (jaccard.shingles_of(" ".join(words).encode()) for words in (a, b))
+        may = jaccard.may_be_alike(jaccard.sketch_of(x), jaccard.sketch_of(y), len(x), len(y), Fraction(4, 5))
+        assert may or not jaccard.alike(x, y, Fraction(4, 5))
+        ruled_out += not may
+    assert ruled_out > 500

@@ -62,8 +62,7 @@ def test_piece_encoder_is_the_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
-    texts = [*soup(4000, 2), *ODD]
+    texts = [*soup(4000, 2), *ODD, "a <|endoftext|> b", "x" * 4000 + " <|endoftext|>"]
     offsets, ids = tokenfile.PieceEncoder(JSON, PATTERN).encode(pa.array(texts), 2)
     for text, a, b in zip(texts, offsets, offsets[1:], strict=False):
         assert ids[a:b].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2]
@@ -80,6 +79,20 @@ def test_token_files_keep_order_and_offsets(spark, tmp_path):
     assert [(r.doc_id, r.ids_crc32) for r in sums] == [(4, zlib.crc32(np.array(table[4].token_ids, dtype="<u4").tobytes()))]
 
 
+def test_token_files_of_repeated_and_null_ids(spark, tmp_path):
+    rows = [(None, "b"), (None, None), (3, "z"), (3, "a"), (3, None), (1, "one <|endoftext|>")] + [(7, f"text {i % 50:03}") for i in range(400)]
+    df = spark.createDataFrame([(*r, "kept out") for r in rows], "doc_id long, text string, token_ids string")
+    path = tokenfile.write(df, str(tmp_path / "t"), JSON, PATTERN, partitions=6)
+    table = tokenfile.with_starts(tokenfile.read(spark, path)).orderBy("part", "row").collect()
+    texts = [t for _, t in sorted(rows, key=lambda r: (r[0] or 0, r[1] or ""))]
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(JSON)
+    assert [r.token_ids for r in table] == [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert len({r.part for r in table if r.doc_id == 7}) > 1
+    assert tokenfile.read(spark, tokenfile.write(df.limit(0), str(tmp_path / "none"), JSON, PATTERN)).count() == 0
+
+
 # 6: SimHash.
 def plain_fingerprint(text, words=4):
     import xxhash
@@ -183,6 +196,33 @@ def test_quality_on_held_out_rows(spark):
     assert right > 0.97
 
 
+def test_discriminant_is_brute_force(spark):
+    rng = random.Random(6)
+    alphabet = ["word", "The", "x", "12", "...", "a|b", "\n", "Über", "so", "$$"]
+    texts = [" ".join(rng.choices(alphabet, weights=[6, 1, 1 + 4 * (i % 2), 1, 1, 1, 1, 1, 3, 1 + i % 2], k=rng.randint(0, 90))) for i in range(300)]
+    df = documents(spark, texts)
+    marked = [(i, i % 2) for i in range(300) if i % 5]
+    got = {r.doc_id: r for r in quality.classify(df, spark.createDataFrame(marked, "doc_id long, quality int")).collect()}
+    x = quality.transformed(np.array([quality.counts_of(t.encode()) for t in texts]))
+    train = [(i, y) for i, y in marked if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows_of = {k: x[[i for i, y in train if y == k]] for k in (0, 1)}
+    both = np.concatenate((rows_of[0], rows_of[1]))
+    scale = np.where(both.std(axis=0) > 1e-9, both.std(axis=0), 1)
+    logs = []
+    for k in (0, 1):
+        z = rows_of[k] / scale
+        covariance = np.cov(z.T, bias=True)
+        covariance = (1 - quality.SHRINKAGE) * covariance + quality.SHRINKAGE * np.trace(covariance) / x.shape[1] * np.eye(x.shape[1])
+        off = x / scale - z.mean(axis=0)
+        logs.append(math.log(len(z) / len(both)) - 0.5 * np.linalg.slogdet(covariance)[1] - 0.5 * (off @ np.linalg.inv(covariance) * off).sum(axis=1))
+    wanted = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+    assert np.allclose([got[i].score for i in range(300)], wanted, atol=1e-5)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got.values())
+    odd = df.withColumn("statistics", F.lit(1)).withColumn("score", F.lit("s")).withColumn("label", F.lit(None)).unionByName(df.limit(3).withColumn("statistics", F.lit(1)).withColumn("score", F.lit("s")).withColumn("label", F.lit(None)))
+    kept = quality.accepted(odd, spark.createDataFrame(marked, "doc_id long, quality int"))
+    assert kept.columns == odd.columns and {r.score for r in kept.collect()} <= {"s"}
+
+
 def test_quality_of_odd_rows(spark):
     df = documents(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -204,8 +244,49 @@ def test_hosts_paths_and_rules(spark):
         assert (row.host, row.path, row.rule, row.verdict) == (host, path, rule, verdict or "allow")
 
 
-def test_url_model_tells_unwanted_hosts(spark):
+def plain_url_model(table, size, rounds, rate, decay, bucket_of):
+    """Full-batch gradient descent on the weights themselves."""
+    x = np.zeros((len(table), size))
+    for i, (_, host, path, _) in enumerate(table):
+        grams = [(f"h{g}", 1.0) for g in ngrams(f"^{host}$")] + [(f"p{g}", urlfilter.PATH_SHARE) for g in ngrams(path)]
+        for g, share in grams:
+            x[i, bucket_of[g]] += share
+        x[i] /= math.sqrt(sum(share**2 for _, share in grams))
+    y, w, c = np.array([r[3] for r in table], dtype=float), np.zeros(size), 0.0
+    for _ in range(rounds):
+        e = y - 1 / (1 + np.exp(-(x @ w + c)))
+        w, c = w * (1 - rate * decay) + rate * x.T @ e, c + e.mean()
+    return w, c, 1 / (1 + np.exp(-(x @ w + c)))
+
+
+def ngrams(text):
+    return [text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)]
+
+
+def test_url_model_is_gradient_descent(spark):
+    table, size = [r for r in urlfilter.labelled_urls() if r[0] % 9 == 0], 512
+    grams = sorted({g for _, host, path, _ in table for g in [*(f"h{x}" for x in ngrams(f"^{host}$")), *(f"p{x}" for x in ngrams(path))]})
+    hashed = spark.createDataFrame([(g,) for g in grams], "g string").select("g", F.pmod(F.xxhash64("g"), F.lit(size)).alias("b"))
+    w, c, p = plain_url_model(table, size, 30, 0.1, 0.03, {r.g: r.b for r in hashed.collect()})
+    df = spark.createDataFrame(table, "url_id int, host string, path string, label int")
+    weights, constant = urlfilter.train(df, size, 30, 0.1, 0.03)
+    assert np.allclose(weights, w, atol=1e-9) and constant == pytest.approx(c)
+    got = {r.url_id: r.p_unwanted for r in urlfilter.probability(df, weights, constant).collect()}
+    assert np.allclose([got[r[0]] for r in table], p, atol=1e-6)
+
+
+def test_url_model_on_held_out_words(spark):
+    """Harmless sites of unknown words are allowed, unwanted ones known by parts of known words. Both kinds of the test tables are told apart."""
     weights, constant = urlfilter.train(urlfilter.labelled_table(spark))
+    fresh = [("casinoking", 1), ("bestpokers", 1), ("torrentz", 1), ("schools", 0), ("newsroom", 0), ("gardening", 0), ("musicians", 0), ("zebra", 0), ("quilting", 0)]
+    df = spark.createDataFrame([(f"http://www.{w}.example.org/de/5", y) for w, y in fresh], "url string, y int")
+    assert all((r.verdict == "block") == bool(r.y) for r in urlfilter.judge(df, weights, constant, []).collect())
+    # A fifth of the words of either kind held out; partners and shapes stay balanced.
+    table, unwanted = urlfilter.labelled_urls(), len(urlfilter.UNWANTED)
+    held = {r[0] for r in table if (r[0] // 2 - (0 if r[3] else unwanted)) % 5 == 0}
+    frame = lambda rows: spark.createDataFrame(rows, "url_id int, host string, path string, label int")
+    judged = urlfilter.probability(frame([r for r in table if r[0] in held and not r[3]]), *urlfilter.train(frame([r for r in table if r[0] not in held])))
+    assert judged.agg(F.avg((F.col("p_unwanted") < 0.5).cast("int"))).first()[0] > 0.9
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     got = urlfilter.judge(pages.select("url"), weights, constant, [])
     bad = F.col("host").rlike("casino|bets|pills|spam|adult|ads-")
@@ -213,6 +294,14 @@ def test_url_model_tells_unwanted_hosts(spark):
     assert got.filter(~bad & (F.col("verdict") != "allow")).count() == 0
 
 
+def test_url_filter_of_odd_rows(spark):
+    none = urlfilter.train(spark.createDataFrame([], "url_id int, host string, path string, label int"), 64)
+    assert none == ([0.0] * 64, 0.0)
+    df = spark.createDataFrame([("http://" + "a" * 20000 + ".org/" + "b" * 20000, 1), (None, 2), ("x", 2), ("x", 2)], "url string, f_scale int")
+    assert urlfilter.judge(df, *none, urlfilter.RULES).count() == 4
+    assert urlfilter.judge(df.limit(0), *none, urlfilter.RULES).count() == 0
+
+
 # 3: HTML.
 @pytest.mark.parametrize(
     "html,text",
@@ -234,6 +323,46 @@ def test_repeated_branches_are_removed_by_style_tree(spark):
     assert {r.page_id: r.text for r in got} == {i: f"Article {i} tells its own story {i * i}." for i in range(8)}
 
 
+def test_style_tree_finds_a_menu_beside_paragraphs(spark):
+    """1,000 pages of one host, all with other numbers of paragraphs, with an unlabelled menu between them and a box of no telling name in main."""
+    rng = random.Random(2)
+    words = [[f"w{rng.randint(0, 9999)}" for _ in range(30)] for _ in range(3000)]
+    body = lambda i: "".join(f"<p>{' '.join(words[(7 * i + k) % 3000])} {i} {k}</p>" for k in range(1 + i % 17))
+    pages = [(i, "http://big.org/a", f"<div class='q7'>Home Contact Terms</div>{body(i)}") for i in range(600)]
+    pages += [(i, "http://big.org/a", f"<main><h1>Title {i}</h1>{body(i)}<div class='q8'>Join our list</div></main>") for i in range(600, 1000)]
+    pages += [(2000 + i, "http://copies.org/a", f"<main><p>Copied article</p><p>of two paragraphs</p></main><div>{i}</div>") for i in range(30)]
+    pages += [(3000, "http://big.org/b", "<div class='q7'>Home Contact Terms</div>"), (3001, None, "<p>no url</p>"), (3002, "http://alone.org", None)]
+    df = spark.createDataFrame([(*p, "own") for p in pages], "page_id long, url string, html string, host string").repartition(5)
+    got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    plain = lambda i: "\n\n".join(f"{' '.join(words[(7 * i + k) % 3000])} {i} {k}" for k in range(1 + i % 17))
+    assert all(got[i] == plain(i) for i in range(600))
+    assert all(got[i] == f"Title {i}\n\n{plain(i)}" for i in range(600, 1000))
+    assert all(got[2000 + i] == "Copied article\n\nof two paragraphs" for i in range(30))
+    assert (got[3000], got[3001], got[3002]) == ("", "no url", "")
+    assert htmltext.extract(df).columns == ["page_id", "url", "host", "text"]
+    assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def test_importance_is_brute_force(spark):
+    pages = [("h", f"<div><p>same</p><p>own {i}</p></div>" + ("<div><p>x</p></div>" if i % 3 else "") + "<em>foot</em>") for i in range(20)]
+    got = {r.path: r.importance for r in htmltext.importance(spark.createDataFrame(pages, "host string, html string")).collect()}
+    shown, kids = {}, {}
+    for _, html in pages:
+        blocks, elements = htmltext.parse(html)
+        for path, text in {(e.path, t) for t, e in blocks if e.parent}:
+            shown.setdefault(htmltext._signed(path), Counter())[text] += 1
+        for path, c in {(e.path, tuple(e.children)) for e in elements if e.children}:
+            kids.setdefault(htmltext._signed(path), Counter())[c] += 1
+    assert set(got) == set(shown)
+    for path, texts in shown.items():
+        total = sum(texts.values())
+        content = 1 - sum(n * math.log(n) for n in texts.values()) / total / math.log(len(pages) + 2)
+        styles = kids.get(path, Counter())
+        p = -sum(n / styles.total() * math.log(n / styles.total()) for n in styles.values()) / math.log(len(pages)) if styles else 1
+        share = 0.9 ** len(styles)
+        assert got[path] == pytest.approx(share * content + (1 - share) * p)
+
+
 # 2: mixing.
 def test_mixing_is_less_than_a_block_off(spark):
     rows = [(i, "a" if i % 10 < 6 else "b" if i % 10 < 9 else None) for i in range(4000)]
@@ -255,6 +384,15 @@ def test_mixing_of_odd_rows(spark):
     assert mixing.schedule(df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["m", "j", "phase", "mix_key", "mix_all", "mix_source", "mix_bucket", "mix_rank", "size", "from_round", "mix_slot", "a.b"]
+    df = spark.createDataFrame([(i, f"s{i % 3}", *(f"{n}{i}" for n in names)) for i in range(200)], ["doc_id", "source", *names])
+    assert Counter(mixing.mixed(df).collect()) == Counter(df.collect())
+    got = mixing.schedule(df)
+    assert got.columns == ["doc_id", "source", *(n for n in names if n != "mix_slot"), "mix_block", "mix_slot", "mix_row"]
+    assert all(r.phase == f"phase{r.doc_id}" and r["a.b"] == f"a.b{r.doc_id}" for r in got.collect())
+
+
 # 5 and 7: vectors.
 def vectors(spark, extra=()):
     rng = np.random.default_rng(5)
@@ -280,6 +418,36 @@ def test_vectors_against_sql(spark, name, run, sql):
     assert run(vectors(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e9, 1e12])
+def test_top_k_of_large_components(spark, size):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8)) * size
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole, got = np.floor(256 * x), {}
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in range(0, len(x), 50):
+        scores = whole @ whole[q]
+        wanted = sorted((i for i in range(len(x)) if i != q), key=lambda i: (-scores[i], i))[:5]
+        assert sorted(got[q]) == list(enumerate(wanted, 1))
+
+
+def test_links_found_with_fewer_probes_than_lists(spark):
+    """Recall against brute force, with 12 probes of some 200 lists."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(2500, 32))
+    x = np.concatenate([centres[rng.integers(0, 2500, 16000)] + rng.normal(size=(16000, 32)) * rng.choice([0.1, 0.3, 0.42, 1.0], (16000, 1)), rng.normal(size=(4000, 32))]).astype(np.float32)
+    assert len(x) // pq.ROWS_A_LIST > 10 * pq.PROBES
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    got = {r.vec_id: r.n_links for r in pq.near_duplicates(df).collect()}
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    wanted = np.concatenate([(unit[a : a + 2000] @ unit.T >= 0.9).sum(axis=1) - 1 for a in range(0, len(x), 2000)])
+    found = np.array([got[i] for i in range(len(x))])
+    assert wanted.sum() > 10000 and (found <= wanted).all()
+    assert found.sum() >= 0.99 * wanted.sum()
+
+
 # Queries against SQL, and the pipeline.
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_as_sql(name, spark, sf_dir, duck):
