@@ -9,10 +9,11 @@ time, so they are scheduled independently: a block's slot follows from the patte
 compositions change at most twice for each source that ends. A composition's pattern is one expression.
 
 All rows are kept: none is dropped, sampled or repeated. Ranks come from counts of hash buckets of bounded size, so a
-source that holds most rows is ranked by many tasks. There may be some thousands of sources: their table, phases and
-patterns are small next to the documents. A null source is a source of its own. Rows with equal or null ids
-keep their number and take neighbouring ranks; which of them is first depends on their other columns. Sources without a
-target weight get ``default_weight``. An empty table gives an empty schedule.
+source that holds most rows is ranked by many tasks. A round should have some hundred blocks at most (the weights of all sources), since a
+pattern's time grows with the product of its blocks and sources; the number of documents doesn't matter to it. A null source is a source of its own. Rows with equal
+ids take neighbouring ranks; which of them is first depends on their other columns. Rows with null ids are
+placed by their other columns. Sources without a target weight get ``default_weight``. An empty table gives an empty schedule.
+Columns may have any names; those named like the three added ones are replaced by them.
 """
 
 from __future__ import annotations
@@ -94,11 +95,22 @@ def schedule(df: DataFrame, weights: dict[str, int] | None = None, default_weigh
     weights = TARGET_WEIGHTS if weights is None else weights
     if min([default_weight, *weights.values()]) < 1:
         raise ValueError("weights are whole numbers from 1")
-    keyed = (
-        df.withColumn("mix_source", F.when(F.col(source_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source_col))))
-        .withColumn("mix_key", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
-        .withColumn("mix_bucket", F.substring("mix_key", 1, bucket_digits))
+    return _placed(df, weights, default_weight, block_rows, id_col, source_col, bucket_digits).select(*_columns(df, ("mix_block", "mix_slot", "mix_row")), "mix_block", "mix_slot", "mix_row")
+
+
+def _columns(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
+    return [F.col("mix_all").getField(c).alias(c) for c in df.columns if c.lower() not in without]
+
+
+def _placed(df: DataFrame, weights: dict[str, int], default_weight: int, block_rows: int, id_col: str, source_col: str, bucket_digits: int) -> DataFrame:
+    """mix_all (a row of ``df``, so that none of its names can clash), mix_block, mix_slot and mix_row."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    keyed = df.select(row.alias("mix_all")).select(
+        "mix_all",
+        F.when(F.col("mix_all")[source_col].isNull(), "").otherwise(F.concat(F.lit("="), F.col("mix_all")[source_col])).alias("mix_source"),
+        F.md5(F.coalesce(F.col("mix_all")[id_col].cast("string"), F.xxhash64("mix_all").cast("string")).cast("binary")).alias("mix_key"),
     )
+    keyed = keyed.withColumn("mix_bucket", F.substring("mix_key", 1, bucket_digits))
     buckets = stored(keyed.groupBy("mix_source", "mix_bucket").agg(F.count(F.lit(1)).alias("n")))
     sources = stored(sources_of(buckets, weights, default_weight, block_rows).coalesce(1))
     phases = stored(phases_of(sources).coalesce(1))
@@ -113,8 +125,7 @@ def schedule(df: DataFrame, weights: dict[str, int] | None = None, default_weigh
         .join(sources.select("mix_source", "m"), "mix_source")
         .select("mix_source", "mix_bucket", (F.col("base") + F.col("inside")).alias("mix_base"), "m")
     )
-    others = [c for c in df.columns if c != id_col]
-    order = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", id_col, F.xxhash64(*others) if others else F.lit(0))
+    order = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", F.col("mix_all")[id_col], F.xxhash64("mix_all"))
     starts = phases.agg(F.sort_array(F.collect_list("from_round"))).scalar()
     placed = (
         keyed.withColumn("mix_rank", F.row_number().over(order) - 1)
@@ -129,10 +140,10 @@ def schedule(df: DataFrame, weights: dict[str, int] | None = None, default_weigh
     small = patterns.count() <= BROADCAST_ROWS
     joined = placed.join(F.broadcast(patterns) if small else patterns, ["phase", "mix_source", "j"])
     slot = F.col("slots_before") + (F.col("mix_round") - F.col("from_round")) * F.col("size") + F.col("slot_in_round")
-    return joined.select(*df.columns, "mix_block", slot.alias("mix_slot"), F.expr(f"mix_rank % {block_rows}").alias("mix_row"))
+    return joined.select("mix_all", "mix_block", slot.alias("mix_slot"), F.expr(f"mix_rank % {block_rows}").alias("mix_row"))
 
 
 def mixed(df: DataFrame, weights: dict[str, int] | None = None, default_weight: int = 1, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The rows of ``df`` in mixed order: partitions by ranges of slots, each sorted."""
-    found = schedule(df, weights, default_weight, block_rows, id_col, source_col)
-    return found.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot", "mix_row").select(*df.columns)
+    found = _placed(df, TARGET_WEIGHTS if weights is None else weights, default_weight, block_rows, id_col, source_col, BUCKET_DIGITS)
+    return found.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot", "mix_row").select(*_columns(df))
