@@ -1,15 +1,18 @@
 """Main text of web pages by site style trees (operator 3).
 
 Each page is parsed into blocks of text under a path of structural elements (tag and first class or id). The pages of a
-host are merged into one tree of such paths. A content node's importance is one minus the mean, over what it shows, of log n / log m,
-where n of the m pages with the node show that: what all pages repeat has importance zero. A presentation node's importance is the entropy, to base m,
-of the child sequences that it has. A block's composite importance weighs its content by g^l and its parent's presentation
-by 1 - g^l, with l child sequences. Branches of low importance on hosts with several pages are removed from each page, besides what markup
-itself declares to be no article: navigation, headers, footers, asides, forms, scripts, adverts, notices, comments. An article or
-main element holds the text where there is one, and is never taken for repetition, since copies of an article are still articles.
+host are merged into one tree of such paths. A content node's importance is one minus the mean, over what it shows, of log n / log (m + 2),
+where n of the m pages with the node show that: what all of many pages repeat has importance near zero, and few pages prove little. A presentation node's importance
+is the entropy, to base m, of the child sequences that it has. A node's composite importance weighs its content by g^l and its presentation
+by 1 - g^l, with l the kinds of child sequences of its own; a node of text alone has that of its content. Branches below the threshold are removed from each page, in the
+article as elsewhere. Pages whose article is the same count as one, so copies of an article don't make it a repetition.
+
+Markup takes part as evidence that outweighs any importance: navigation, headers, footers, asides, forms, scripts, adverts, notices and comments
+that are declared as such, and whatever stands beside an article or main element that has text. A page of which nothing is left has empty text.
 
 Tree statistics are sums that Spark combines before it shuffles; texts are never shuffled while the table of
-low branches is small (checked), and are joined by host beyond that.
+low branches is small (checked). Beyond that they are joined by host, as two plain tables, so that adaptive execution splits a large host.
+A host's low branches are one list of 8 bytes each.
 
 Null, empty and text-free pages give empty text. Broken, unclosed and cut-off markup is read as far as it goes. Null urls are one host.
 Rows are independent: repeated rows give repeated results, and each counts as a page.
@@ -31,7 +34,7 @@ from sylvagraph.llm.common import free_name, stored
 from sylvagraph.llm.urlfilter import host_of
 
 # Kinds of elements.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 NOT_ARTICLE = {"nav", "footer", "aside", "form", "head", "button", "select", "dialog", "menu", "object", "canvas", "datalist", "fieldset", "audio", "video"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "caption", "tbody", "tfoot", "thead", "tr", "ul", "button", "select", "object", "canvas", "datalist", "audio", "video"}
@@ -204,11 +207,7 @@ def _kept(blocks: list[tuple[str, Element]], low: set[int]) -> list[str]:
             inside |= e.main
         marked.append((text, element, out, inside))
     main = any(inside and not out for _, _, out, inside in marked)
-    if main:
-        return [text for text, _, out, inside in marked if inside and not out]
-    rest = [(text, element) for text, element, out, _ in marked if not out]
-    found = [text for text, element in rest if not any(e.path in low for e in _chain(element))]
-    return found or [text for text, _ in rest]
+    return [text for text, element, out, inside in marked if not out and (inside or not main) and not any(e.path in low for e in _chain(element))]
 
 
 def main_text(html: str, low: set[int] | frozenset[int] = frozenset()) -> str:
@@ -216,7 +215,7 @@ def main_text(html: str, low: set[int] | frozenset[int] = frozenset()) -> str:
 
 
 CONTENT, PRESENTATION, PAGES = 0, 1, 2
-STYLE_ROWS = "host string, path bigint, parent bigint, kind int, feature bigint"
+STYLE_ROWS = "host string, path bigint, kind int, feature bigint, page bigint"
 
 
 def _signed(x: int) -> int:
@@ -232,46 +231,45 @@ def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hosts, rows = [], []
             for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                 blocks, elements = parse(html or "")
-                mine = {(e.path, e.parent.path, PAGES, 0) for e in elements}
-                mine |= {(b.path, b.parent.path if b.parent else 0, CONTENT, xxh64_intdigest(text)) for text, b in blocks if b.parent}
-                mine |= {(e.path, e.parent.path, PRESENTATION, hash(tuple(e.children)) & _MASK) for e in elements if e.children}
+                page = xxh64_intdigest("\n".join(_kept(blocks, set())))
+                mine = {(e.path, PAGES, 0, page) for e in elements}
+                mine |= {(b.path, CONTENT, xxh64_intdigest(text), page) for text, b in blocks if b.parent}
+                mine |= {(e.path, PRESENTATION, hash(tuple(e.children)) & _MASK, page) for e in elements if e.children}
                 hosts += [host] * len(mine)
                 rows += mine
             if rows:
-                path, parent, kind, feature = zip(*rows, strict=True)
+                path, kind, feature, page = zip(*rows, strict=True)
                 longs = lambda x: pa.array([_signed(v) for v in x], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), longs(path), longs(parent), pa.array(kind, pa.int32()), longs(feature)], names=["host", "path", "parent", "kind", "feature"])
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), longs(path), pa.array(kind, pa.int32()), longs(feature), longs(page)], names=["host", "path", "kind", "feature", "page"])
 
 
 def importance(pages: DataFrame, decay: float = 0.9) -> DataFrame:
-    """host, path, pages and the composite importance of each block path of the hosts' style trees. ``pages``: host, html."""
-    counts = pages.mapInArrow(_style_rows, STYLE_ROWS).groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"), F.first("parent").alias("parent"))
+    """host, path, pages and the composite importance of each path with text in the hosts' style trees. ``pages``: host, html."""
+    shown = pages.mapInArrow(_style_rows, STYLE_ROWS).distinct()
+    counts = shown.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
     only = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0.0))
     n, logs = F.col("n"), F.col("n") * F.log("n")
     nodes = counts.groupBy("host", "path").agg(
-        F.first("parent").alias("parent"), only(PAGES, n).alias("pages"),
-        only(CONTENT, n).alias("shown"), only(CONTENT, logs).alias("shown_logs"),
+        only(PAGES, n).alias("pages"), only(CONTENT, n).alias("shown"), only(CONTENT, logs).alias("shown_logs"),
         only(PRESENTATION, n).alias("styled"), only(PRESENTATION, logs).alias("styled_logs"), only(PRESENTATION, F.lit(1.0)).alias("styles"),
-    )
-    base = F.log("pages")
-    nodes = nodes.withColumn("content", F.when((F.col("pages") > 1) & (F.col("shown") > 0), 1 - F.col("shown_logs") / (F.col("shown") * base)).otherwise(1.0))
-    nodes = stored(nodes.withColumn("presentation", F.when((F.col("pages") > 1) & (F.col("styled") > 0), (F.log("styled") - F.col("styled_logs") / F.col("styled")) / base).otherwise(1.0)))
-    above = nodes.select("host", F.col("path").alias("parent"), F.col("presentation").alias("of_parent"), F.col("styles").alias("parent_styles"))
-    share = F.pow(F.lit(decay), F.greatest(F.coalesce("parent_styles", F.lit(0.0)), F.lit(1.0)))
-    return nodes.filter("shown > 0").join(above, ["host", "parent"], "left").select("host", "path", "pages", (share * F.col("content") + (1 - share) * F.coalesce("of_parent", F.lit(1.0))).alias("importance"))
+    ).filter("shown > 0")
+    content = 1 - F.col("shown_logs") / (F.col("shown") * F.log(F.col("pages") + 2))
+    presentation = F.when((F.col("pages") > 1) & (F.col("styled") > 0), (F.log("styled") - F.col("styled_logs") / F.col("styled")) / F.log("pages")).otherwise(1.0)
+    share = F.pow(F.lit(decay), F.col("styles"))
+    return nodes.select("host", "path", "pages", (share * content + (1 - share) * presentation).alias("importance"))
 
 
 BROADCAST_ROWS = 100_000
 
 
-def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.4, least_pages: int = 3) -> DataFrame:
+def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.4) -> DataFrame:
     """The columns ``keep`` (default: all but the html) and the main text of each page."""
     keep = [c for c in (df.columns if keep is None else keep) if c not in (html_col, text_col)]
     host, low = free_name(df, "host"), free_name(df, "low_paths")
     pages = df.withColumn(host, host_of(F.col(url_col)))
     nodes = importance(pages.select(F.col(host).alias("host"), F.col(html_col).alias("html")))
-    found = stored(nodes.filter((F.col("importance") < threshold) & (F.col("pages") >= least_pages)).select(F.col("host").alias(host), "path"))
-    of_host = found.groupBy(host).agg(F.collect_set("path").alias(low))
+    found = stored(nodes.filter(F.col("importance") < threshold).select(F.col("host").alias(host), "path"))
+    of_host = stored(found.groupBy(host).agg(F.collect_set("path").alias(low)))
     small = found.count() <= BROADCAST_ROWS
     joined = pages.join(F.broadcast(of_host) if small else of_host, host, "left").select(*keep, F.col(html_col).alias(html_col), low)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(text_col, T.StringType())])
