@@ -2,8 +2,9 @@
 
 Each whole text gives transformed statistics (logs and ratios of counts of bytes, words and lines). Per class, mean and
 covariance come from sums over all labelled training rows, which Spark combines before it shuffles; only these sums, of fixed
-size, reach the driver. Covariances are those of standardised statistics, shrunk towards a multiple of the
-identity; their Cholesky factors are computed once. The score is the probability of class 1 from the
+size, reach the driver. Products are summed about the mean of all rows, found first, and sums are cut to nine digits, so the order of additions
+doesn't show. Covariances are those of standardised statistics, shrunk towards a multiple of the
+identity; their Cholesky factors are inverted once. The score is the probability of class 1 from the
 difference of the two Mahalanobis log densities with the classes' shares as priors.
 
 Null and empty texts have zero statistics and a score like any other. Labels other than 0 and 1, null labels and
@@ -72,14 +73,14 @@ class Discriminant:
     mean: np.ndarray
     scale: np.ndarray
     means: list[np.ndarray]
-    factors: list[np.ndarray]
+    inverses: list[np.ndarray]
     constants: list[float]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.mean) / self.scale
         logs = []
-        for mean, factor, constant in zip(self.means, self.factors, self.constants, strict=True):
-            u = np.linalg.solve(factor, (z - mean).T)
+        for mean, inverse, constant in zip(self.means, self.inverses, self.constants, strict=True):
+            u = inverse @ (z - mean).T
             logs.append(constant - 0.5 * (u * u).sum(axis=0))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
@@ -88,36 +89,37 @@ def fit(rows: DataFrame, label_col: str = "label", name: str = "statistics", shr
     """A discriminant from all rows with label 0 or 1; a constant score where a class is missing."""
     d = len(STATISTICS)
     upper = [(i, j) for i in range(d) for j in range(i, d)]
+    marked = rows.filter(F.col(label_col).isin(0, 1))
     x = lambda i: F.col(name)[i]
-    sums = (
-        rows.filter(F.col(label_col).isin(0, 1))
-        .groupBy(F.col(label_col).cast("int").alias("label"))
-        .agg(F.count(F.lit(1)).alias("n"), F.array(*(F.sum(x(i)) for i in range(d))).alias("first"), F.array(*(F.sum(x(i) * x(j)) for i, j in upper)).alias("second"))
-        .collect()
-    )
-    n, first, second = {}, {}, {}
-    for row in sums:
-        n[row.label], first[row.label] = row.n, np.array(row.first)
-        square = np.zeros((d, d))
-        for (i, j), v in zip(upper, row.second, strict=True):
-            square[i, j] = square[j, i] = v
-        second[row.label] = square
-    if len(n) < 2:
-        return float(next(iter(n), 0.5))
+    of_class = marked.groupBy(F.col(label_col).cast("int").alias("label"))
+    sums = of_class.agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(x(i)) for i in range(d))).alias("mean")).collect()
+    if len(sums) < 2:
+        return float(sums[0].label if sums else 0.5)
+    n, centre = {r.label: r.n for r in sums}, {r.label: _cut(r.mean) for r in sums}
     total = n[0] + n[1]
-    mean = (first[0] + first[1]) / total
-    spread = np.sqrt(np.maximum(np.diag(second[0] + second[1]) / total - mean**2, 0))
+    mean = _cut((n[0] * centre[0] + n[1] * centre[1]) / total)
+    y = lambda i: x(i) - float(mean[i])
+    about = {}
+    for row in of_class.agg(F.array(*(F.avg(y(i) * y(j)) for i, j in upper)).alias("second")).collect():
+        about[row.label] = square = np.zeros((d, d))
+        for (i, j), v in zip(upper, _cut(row.second), strict=True):
+            square[i, j] = square[j, i] = v
+    spread = np.sqrt(np.maximum(np.diag(n[0] * about[0] + n[1] * about[1]) / total, 0))
     scale = np.where(spread > 1e-9, spread, 1.0)
-    means, factors, constants = [], [], []
+    means, inverses, constants = [], [], []
     for k in (0, 1):
-        centre = first[k] / n[k]
-        covariance = (second[k] / n[k] - np.outer(centre, centre)) / np.outer(scale, scale)
+        off = centre[k] - mean
+        covariance = (about[k] - np.outer(off, off)) / np.outer(scale, scale)
         covariance = (1 - shrinkage) * covariance + (shrinkage * max(np.trace(covariance) / d, 1e-6)) * np.eye(d)
         factor = np.linalg.cholesky(covariance)
-        means.append((centre - mean) / scale)
-        factors.append(factor)
+        means.append(off / scale)
+        inverses.append(np.linalg.inv(factor))
         constants.append(float(np.log(n[k] / total) - np.log(np.diag(factor)).sum()))
-    return Discriminant(mean, scale, means, factors, constants)
+    return Discriminant(mean, scale, means, inverses, constants)
+
+
+def _cut(x: np.ndarray | list[float]) -> np.ndarray:
+    return np.array([float(f"{v:.9g}") for v in x])
 
 
 def scored(stats: DataFrame, model: Discriminant | float, keep: list[str], name: str = "statistics", score: str = "score") -> DataFrame:
