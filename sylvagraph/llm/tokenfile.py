@@ -2,7 +2,8 @@
 
 Encoding: texts are cut before spaces and newlines after or before something other than white space, where no match of
 the byte-level pre-tokenizer can span; the distinct pieces of a batch are encoded by the tokenizers library and put
-together by their codes. Texts with a space or newline between white space go to the library whole.
+together by their codes. Texts with a space or newline between white space, or with the name of one of the tokenizer's added tokens (which the
+library takes for that token), go to the library whole.
 
 Files: one row a document in ascending id order over all files (``part-NNNNN`` by NNNNN, then row by row): its
 id, its number of tokens and its ids as a list column. Ids are dictionary encoded, the id and length columns
@@ -10,12 +11,14 @@ delta encoded; row groups and pages are of a set size and have page indexes, so
 no other pages. Offsets of documents aren't written: they follow from the lengths, which are
 cheap to read, file by file.
 
-Null and empty texts have the end id alone. Equal ids stand in the order of their texts, null ids first. Columns beside
+Null and empty texts have the end id alone. Equal ids stand in the order of their texts, null ids first; ranges are cut between ids and, where one
+id has many rows, between the beginnings of their texts. Columns beside
 ``id_col`` and ``text_col`` are not kept.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -55,9 +58,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         # A token of a byte-level vocabulary has a character for each byte.
         self.lengths = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())], dtype=np.int64)
+        names = [re.escape(a.content) for a in self.library.get_added_tokens_decoder().values()]
+        self.unsafe = "|".join([_UNSAFE, *names])
         self.matches = regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}  # letters after a space, or a newline and letters
         self.pieces: dict[str, bytes] = {}  # single matches
@@ -101,7 +105,7 @@ class PieceEncoder:
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (one more than texts) and ids."""
         texts = texts.fill_null("")
-        whole = pc.match_substring_regex(texts, _UNSAFE).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, self.unsafe).to_numpy(zero_copy_only=False)
         # Cuts stand before spaces and newlines: a chunk has its newline, or had a space before it.
         lists = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(whole), "", texts), "\n", " \n"), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -176,8 +180,9 @@ def encode(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_
 def write(df: DataFrame, path: str, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, partitions: int | None = None, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> str:
     """Writes the token files of ``df``; returns ``path``. Texts are dealt by id ranges before they are encoded, so ids aren't shuffled."""
     by = [F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first()]
+    ranges = [by[0], F.substring(text_col, 1, 24).asc_nulls_first()]
     docs = df.select(*dict.fromkeys([id_col, text_col]))
-    dealt = docs.repartitionByRange(partitions, *by[:1]) if partitions else docs.repartitionByRange(*by[:1])
+    dealt = docs.repartitionByRange(partitions, *ranges) if partitions else docs.repartitionByRange(*ranges)
     (
         encode(dealt.sortWithinPartitions(*by), tokenizer_path, pattern, id_col, text_col, end_id)
         .write.option("compression", "zstd")
