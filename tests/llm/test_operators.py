@@ -175,17 +175,74 @@ def test_language_model_counts_and_normalises(spark):
     assert classlm.fit_and_score(documents(spark, []).limit(0)).count() == 0
 
 
-def test_model_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    bigrams = rng.integers(0, 5, (classlm.GROUPS, classlm.GROUPS)).astype(float)
-    kinds = np.ones(classlm.GROUPS)
-    model = classlm.Model(bigrams, kinds)
-    assert np.allclose((10**model.transition).sum(axis=1), 1)
-    tokens = bigrams.sum(axis=0)
-    for k in range(1, 5):
-        mine = np.flatnonzero(model.of == k)
-        seen = 10 ** model.emission(np.full(len(mine), k), tokens[mine])
-        assert seen.sum() + 10 ** model.emission(np.array([k]), np.array([0]))[0] == pytest.approx(1)
+def plain_class_model(texts, held):
+    """The model from its definition, in dicts; the groups' classes are the operator's."""
+    docs = [(t or "").encode().lower().split() + [classlm.END] for t in texts]
+    train = [d for d, h in zip(docs, held, strict=True) if not h]
+    stream = [classlm.END, *(w for d in train for w in d)]
+    pairs, count = Counter(zip(stream, stream[1:], strict=False)), Counter(stream[1:])
+    group = np.zeros((classlm.GROUPS, classlm.GROUPS))
+    for (v, w), n in pairs.items():
+        group[classlm.group_of(v), classlm.group_of(w)] += n
+    of_group, size = classlm.exchange(group), classlm.CLASSES
+    first = np.zeros((size, size))
+    for (v, w), n in pairs.items():
+        first[of_group[classlm.group_of(v)], of_group[classlm.group_of(w)]] += n
+    gain = np.log((first + 1) / (np.outer(first.sum(axis=1), first.sum(axis=0)) / first.sum() + 1))
+    of = {}
+    for w in {w for d in docs for w in d}:
+        of[w] = int(of_group[classlm.group_of(w)])
+        if count[w] >= classlm.OWN_COUNT and w != classlm.END:
+            total = np.zeros(size)
+            for (x, y), n in pairs.items():
+                if y == w:
+                    total += n * gain[of_group[classlm.group_of(x)]]
+                if x == w:
+                    total += n * gain[:, of_group[classlm.group_of(y)]]
+            of[w] = 1 + int(np.argmax(total[1:]))
+    tokens, kinds, moves = Counter(), Counter(of[w] for w in count), Counter()
+    for (v, w), n in pairs.items():
+        tokens[of[w]] += n
+        moves[of[v], of[w]] += n
+    n_all, after = sum(tokens.values()), Counter()
+    for (a, _), n in moves.items():
+        after[a] += n
+
+    def p(v, w):
+        share = (tokens[of[w]] + 0.5) / (n_all + 0.5 * size)
+        step = (moves[of[v], of[w]] + 2 * share) / (after[of[v]] + 2)
+        return step * (1 if w == classlm.END else (count[w] + 0.5) / (tokens[of[w]] + 0.5 * (kinds[of[w]] + 1)))
+
+    return [sum(math.log10(p(v, w)) for v, w in zip([classlm.END, *d], d, strict=False)) for d in docs], of
+
+
+def test_scores_are_the_model_s(spark):
+    rng = random.Random(8)
+    nouns, verbs, small = [f"noun{i}" for i in range(30)], [f"verb{i}ed" for i in range(20)], ["the", "a", "my"]
+    texts = [" ".join(w for _ in range(rng.randint(0, 12)) for w in (rng.choice(small), rng.choice(nouns), rng.choice(verbs))) for _ in range(150)] + [None, "", "Unseen wörter hier"]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    got = {r.doc_id: r for r in classlm.fit_and_score(documents(spark, texts).coalesce(1)).collect()}
+    wanted, of = plain_class_model(texts, held)
+    assert [got[i].score for i in range(len(texts))] == pytest.approx(wanted)
+    # Words of a kind share classes, and the model beats the unigram on texts it hasn't seen.
+    assert len({of[n.encode()] for n in nouns} & {of[v.encode()] for v in verbs}) == 0
+    assert sum(got[i].score - got[i].base_score for i, h in enumerate(held) if h) > 0
+
+
+def test_class_probabilities_sum_to_one():
+    model = classlm.Model(np.array([5.0, 9, 4]), np.array([1.0, 3, 2]))
+    assert np.allclose((10 ** model.transitions(np.array([[1.0, 2, 3], [0, 0, 0], [9, 1, 0]]))).sum(axis=1), 1)
+    seen = 10 ** model.emission(np.array([1, 1, 1]), np.array([4, 3, 2]))
+    assert seen.sum() + 10 ** model.emission(np.array([1]), np.array([0]))[0] == pytest.approx(1)
+
+
+def test_language_model_of_odd_rows(spark):
+    df = documents(spark, [*ODD, *ODD]).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("doc_id") % 5)).withColumn("block", F.lit(1)).repartition(3)
+    got = classlm.fit_and_score(df).collect()
+    assert len(got) == 2 * len(ODD) and all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert all(not r.held_out for r in got if r.doc_id is None)
+    none = classlm.fit_and_score(documents(spark, ["a b", "c"]), F.lit(True)).collect()
+    assert [r.train_tokens for r in none] == [0, 0] and all(r.n_known == 0 for r in none)
 
 
 # 4: quality.
