@@ -10,7 +10,11 @@ Every candidate must pass a bound from sketches, small bitmaps of the shingles:
 that one has. Those that do are verified by the shingles of both texts.
 
 Large groups of near copies share shingles by the thousand. So each shingle's nodes are verified against one of them first, together with
-the candidates that the caller has, and then only pairs that these links leave in different groups.
+the candidates that the caller has; where these links leave several groups, against some more; and then only pairs that are still in different groups.
+
+Passages that many texts share leave many nodes in different groups under one shingle, and the sample may not know it as frequent. Two nodes that such a
+shingle joins have both of them, so nodes with one are compared among themselves in a second order: by exact counts among these nodes. A text with
+less than four fifths of its shingles in passages is then out at once, for shingles of its own come first.
 """
 
 from __future__ import annotations
@@ -31,6 +35,12 @@ from sylvagraph.llm.vectors import slices
 
 #: The sample that tells frequent shingles: so many rows; seen in so many of them; the table's size.
 SAMPLE_ROWS, SEEN, FREQUENT = 10_000, 4, 1 << 18
+#: Longs of a node's bits, the bitmap that joins of the second order look at.
+LONGS = 8
+#: Nodes that all others of a shingle are verified against once the first links are known.
+PIVOTS = 4
+#: A shingle that leaves more nodes than this in different groups is compared in the second order.
+CROWD = 64
 
 
 def shingles_of(text: bytes, shingle_words: int = 5, seed: int = 42) -> np.ndarray:
@@ -66,7 +76,7 @@ def signatures(df: DataFrame, row: str, id_col: str, text_col: str, similarity:
     frequent = df.sparkSession.sparkContext.broadcast(_frequent(df, text_col, shingle_words, seed))
     schema = T.StructType([
         T.StructField("row", T.LongType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()),
-        T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("bits", T.LongType()),
+        T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("longs", T.ArrayType(T.LongType())), T.StructField("bits", T.LongType()),
     ])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -80,7 +90,7 @@ def _signed(batch: pa.RecordBatch, row: str, id_col: str, text_col: str, similar
     from xxhash import xxh64_intdigest
 
     known, counts = frequent.value
-    nodes, sizes, prefixes, sketches, bits = [], [], [], [], []
+    nodes, sizes, prefixes, sketches, bitmaps, bits = [], [], [], [], [], []
     for text in text_bytes(batch.column(text_col)):
         words = text.lower().split()
         hashes = shingle_hashes(words, shingle_words, seed)
@@ -89,6 +99,7 @@ def _signed(batch: pa.RecordBatch, row: str, id_col: str, text_col: str, similar
         nodes.append(xxh64_intdigest(found.tobytes(), seed))
         sizes.append(len(found))
         sketches.append(sketch_of(found))
+        bitmaps.append(np.frombuffer(sketch_of(found, 64 * LONGS), dtype="<i8"))
         if len(known):
             at = np.minimum(np.searchsorted(known, found), len(known) - 1)
             found = found[np.lexsort((found, np.where(known[at] == found, counts[at], 0)))]
@@ -97,12 +108,12 @@ def _signed(batch: pa.RecordBatch, row: str, id_col: str, text_col: str, similar
     longs = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
-    return pa.RecordBatch.from_arrays([batch.column(row), batch.column(id_col), longs(nodes), pa.array(sizes, pa.int32()), lists, pa.array(sketches, pa.binary()), longs(bits)], names=["row", "id", "node", "size", "prefix", "sketch", "bits"])
+    return pa.RecordBatch.from_arrays([batch.column(row), batch.column(id_col), longs(nodes), pa.array(sizes, pa.int32()), lists, pa.array(sketches, pa.binary()), pa.array(bitmaps, pa.list_(pa.int64())), longs(bits)], names=["row", "id", "node", "size", "prefix", "sketch", "longs", "bits"])
 
 
-def sketch_of(shingles: np.ndarray) -> bytes:
-    """A bitmap of the shingles' last bits, of as many bits as shingles at least, and a power of two."""
-    size = max(64, 1 << (len(shingles) - 1).bit_length())
+def sketch_of(shingles: np.ndarray, size: int = 0) -> bytes:
+    """A bitmap of the shingles' last bits, of ``size`` bits or as many bits as shingles at least, and a power of two."""
+    size = size or max(64, 1 << (len(shingles) - 1).bit_length())
     bits = np.zeros(size, dtype=bool)
     bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -166,23 +177,73 @@ def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], candidates:
     # Keys of one node link nothing.
     of_key = Window.partitionBy("key")
     filed = stored(filed.withColumn("first", F.min("node").over(of_key)).withColumn("last", F.max("node").over(of_key)).filter("first != last").drop("last"))
-    p, q = similarity.numerator, similarity.denominator
     stars = filed.filter("node != first").select(F.col("first").alias("src"), F.col("node").alias("dst"))
     tried = stored(plausible(stars.unionByName(candidates).distinct(), nodes, similarity))
     first = stored(verified(tried, _texts_of(tried, texts), similarity, shingle_words, seed))
 
-    roots = connected_components(first)
-    rooted = filed.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.withColumn("low", F.min("root").over(of_key)).withColumn("high", F.max("root").over(of_key)).filter("low != high")
-    rest = stored(mixed.select("key", "node", "size", "pos", "root"))
-    a, b = rest.alias("a"), rest.alias("b").hint("merge")
+    # Some more of each shingle's nodes, by other hashes, for groups whose members are about as similar as the threshold.
+    between = stored(_mixed(_rooted(filed, first)))
+    marks = [F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "root")).over(of_key) for i in range(PIVOTS)]
+    marked = between.select("node", "root", *(mark.alias(f"mark{i}") for i, mark in enumerate(marks)))
+    asked = marked.select("node", "root", F.explode(F.array(*(f"mark{i}" for i in range(PIVOTS)))).alias("mark")).filter("mark.root != root")
+    more = asked.select(F.least("node", "mark.node").alias("src"), F.greatest("node", "mark.node").alias("dst")).distinct()
+    more = stored(plausible(more.join(tried.hint("merge"), ["src", "dst"], "left_anti"), nodes, similarity))
+    first = stored(first.unionByName(verified(more, _texts_of(more, texts), similarity, shingle_words, seed)))
+    tried = tried.unionByName(more)
+
+    mixed = _mixed(_rooted(between.drop("root"), first)).withColumn("crowd", F.count(F.lit(1)).over(of_key) > CROWD)
+    rest = stored(mixed.select("key", "node", "size", "pos", "root", "crowd"))
+    pairs = _paired(rest.filter("not crowd"), similarity)
+    crowded = rest.filter("crowd").select("node", F.col("size").cast("bigint").alias("size"), "root").distinct()
+    crowded = stored(crowded.join(nodes.select("node", "longs").hint("merge"), "node"))
+    again = stored(_mixed(_second_order(crowded, texts, similarity, shingle_words, seed)))
+    pairs = pairs.unionByName(_paired(again, similarity)).distinct()
+    later = stored(plausible(pairs.join(tried.hint("merge"), ["src", "dst"], "left_anti"), nodes, similarity))
+    return first.unionByName(verified(later, _texts_of(later, texts), similarity, shingle_words, seed))
+
+
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the root of each node's group."""
+    return rows.join(connected_components(links).hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows whose key has several roots."""
+    of_key = Window.partitionBy("key")
+    return rows.withColumn("low", F.min("root").over(of_key)).withColumn("high", F.max("root").over(of_key)).filter("low != high").drop("low", "high")
+
+
+def _paired(rows: DataFrame, similarity: Fraction) -> DataFrame:
+    """src and dst of nodes of different roots that share a key and may be alike by sizes, places and, if they have them, longs. ``rows``: key, node, size, pos, root."""
+    p, q = similarity.numerator, similarity.denominator
+    a, b = rows.alias("a"), rows.alias("b").hint("merge")
     size_a, size_b = F.col("a.size").cast("bigint"), F.col("b.size").cast("bigint")
     # The first shingle in common has none in common before it.
     left = 1 + F.least(size_a - F.col("a.pos") - 1, size_b - F.col("b.pos") - 1)
     fits = (F.least(size_a, size_b) * q >= F.greatest(size_a, size_b) * p) & (left * (p + q) >= (size_a + size_b) * p)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & fits).select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
-    later = stored(plausible(pairs.join(tried.hint("merge"), ["src", "dst"], "left_anti"), nodes, similarity))
-    return first.unionByName(verified(later, _texts_of(later, texts), similarity, shingle_words, seed))
+    if "longs" in rows.columns:
+        # As for sketches: a bit that one alone has is a shingle that one alone has.
+        alone = lambda x, y: sum((F.bit_count(F.col(f"{x}.longs")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}.longs")[i]))) for i in range(LONGS)), F.lit(0))
+        fits = fits & (F.least(size_a - alone("a", "b"), size_b - alone("b", "a")) * (p + q) >= (size_a + size_b) * p)
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & fits).select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst"))
+
+
+def _second_order(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: Fraction, shingle_words: int, seed: int) -> DataFrame:
+    """key, node, size, pos, root and longs of the first shingles of ``nodes`` (node, size, root, longs), by their counts among them; those of one node are left out."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in slices(batch, 500):
+            found = [shingles_of(x, shingle_words, seed).view(np.int64) for x in text_bytes(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found))], names=["node", "key"])
+
+    keys = arrow_map(texts(nodes.select("node")), run, "node bigint, key bigint")
+    shared = stored(keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1"))
+    of_node = Window.partitionBy("node")
+    ranked = shared.withColumn("rank", F.row_number().over(of_node.orderBy("n", "key")) - 1).withColumn("shared", F.count(F.lit(1)).over(of_node))
+    # Shingles of a node's own come before those.
+    placed = ranked.join(nodes.hint("merge"), "node").withColumn("pos", F.col("size") - F.col("shared") + F.col("rank"))
+    p, q = similarity.numerator, similarity.denominator
+    return placed.filter(F.expr(f"pos <= size - (size * {p} + {q - 1}) div {q}")).select("key", "node", "size", "pos", "root", "longs")
 
 
 def _texts_of(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -144,7 +144,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = jaccard.signatures(keyed, row, id_col, text_col, similarity, shingle_words, seed)
     # Of each node the row that stands for it: the smallest id, nulls last.
     best = F.min(F.struct(F.col("id").isNull(), "id", "row"))
-    nodes = stored(rows.groupBy("node").agg(best.alias("best"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")))
+    nodes = stored(rows.groupBy("node").agg(best.alias("best"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("longs").alias("longs"), F.first("bits").alias("bits")))
     prints = stored(nodes.groupBy("bits").agg(F.min("node").alias("first")))
     same = nodes.select("node", "bits").join(prints.hint("merge"), "bits").filter("node != first").select(F.col("first").alias("src"), F.col("node").alias("dst"))
     first = lambda c: prints.select(F.col("bits").alias(c), F.col("first").alias(f"{c}_node")).hint("merge")
