@@ -143,7 +143,8 @@ def prepare_change_context(graph: CodeGraph, target: str, texts: Texts = None, t
         "violations": _rows(architecture.violations(edges).filter((F.col("s") == file) | (F.col("t") == file))), "recommended_files": [file, *sorted(near - {file})][:15],
     }
     if include_security_findings:
-        out["findings"] = _rows(_findings(graph, texts).filter(F.col("node_id").isin(sorted(near)[:500])), 10)
+        around = graph.nodes.sparkSession.createDataFrame([(x,) for x in sorted(near)], "node_id string")
+        out["findings"] = _rows(_findings(graph, texts).join(around, "node_id", "left_semi").orderBy("node_id", "rule_id"), 10)
     return out
 
 
@@ -164,10 +165,13 @@ def prepare_change_campaign(graph: CodeGraph, user_request: str, candidate_queri
     seeds = project.campaign_seeds(graph.nodes, classified, queries, seed_node_ids, _bounded(max_seeds, 1, 30)).persist()
     affected = traverse.affected_files(graph.nodes, graph.links, seeds, depth, _bounded(max_files, 1, 100)).persist()
     count = affected.count()
-    return {
+    out = {
         "seeds": _rows(seeds), "affected_files": _rows(affected.orderBy("depth", "id")), "breadth": project.breadth(count), "waves": _rows(project.execution_waves(affected, classified)),
         "layers": _rows(project.layers_involved(affected, classified)), "blast": _rows(traverse.blast_radius(graph.nodes, graph.links, seeds, 2).groupBy("seed_id").agg(F.count(F.lit(1)).alias("n"))),
     }
+    seeds.unpersist()
+    affected.unpersist()
+    return out
 
 
 def _inferred(spark, text: str) -> dict:

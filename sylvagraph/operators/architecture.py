@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def load_rules(spark: SparkSession, path: str) -> Rules:
     try:
         table = spark.read.option("multiLine", True).schema("rules array<struct<pattern:string,layer:string,reason:string>>").json(path)
         rows = table.select(F.posexplode("rules").alias("ord", "rule")).filter("rule.pattern is not null and rule.layer is not null").orderBy("ord").collect()
-    except Exception:  # a missing or broken file means the default rules
+    except AnalysisException:  # a missing file means the default rules, as does one without any; a failed job doesn't
         return RULES
     return [(r.rule.pattern, r.rule.layer, r.rule.reason or "custom_rule") for r in rows] or RULES
 

@@ -90,8 +90,8 @@ def best_scores(nodes: DataFrame, queries: DataFrame, weights: str) -> DataFrame
     """``nodes`` with the highest score over all queries (column query; few rows, so each node is scored against them as a list)."""
     score = {"task": task_score, "campaign": campaign_score}[weights]
     asked = queries.agg(F.collect_set(F.trim(F.lower("query"))).alias("q"))
-    each = nodes.withColumn("asked", asked.scalar()).withColumn("query", F.explode("asked"))
-    return each.withColumn("score", score(F.col("query"))).groupBy(*[c for c in nodes.columns if c != "exports"]).agg(F.max("score").alias("score")).filter("score > 0")
+    best = F.array_max(F.transform("asked", lambda q: score(q)))
+    return nodes.withColumn("asked", asked.scalar()).withColumn("score", best).filter("score > 0").drop("asked", "exports")
 
 
 def target_candidates(nodes: DataFrame, queries: DataFrame, limit: int = 6) -> DataFrame:

@@ -1,11 +1,13 @@
 """Graph traversal: breadth-first levels from many seeds, impact summaries, parent chains and short cycles.
 
-Levels are DataFrame joins; each is a reliable checkpoint, so lineage doesn't grow with depth. A node that many edges
+Levels are DataFrame joins; each new front is a reliable checkpoint, so lineage doesn't grow with depth and no level is written twice. A node that many edges
 meet is one row on the other side of the join.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +22,19 @@ def levels(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> Data
     """
     edges = cut(edges.select("a", "b").distinct())
     front = cut(seeds.select("seed_id", "id").distinct().withColumn("depth", F.lit(0)))
-    seen, level = front, 0
+    fronts, level = [front], 0
     while depth is None or level < depth:
         level += 1
         near = front.join(edges, front.id == edges.a).select("seed_id", F.col("b").alias("id")).distinct()
-        front = cut(near.join(seen, ["seed_id", "id"], "left_anti").withColumn("depth", F.lit(level)))
+        front = cut(near.join(_union(fronts), ["seed_id", "id"], "left_anti").withColumn("depth", F.lit(level)))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        fronts.append(front)
+    return _union(fronts)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def reversed_edges(links: DataFrame) -> DataFrame:
@@ -83,14 +89,14 @@ def with_paths(edges: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
     """seed_id, id, distance and one shortest path: that of the smallest parent by distance, then path. Depth is bounded, so are paths."""
     pairs = cut(both_ways(edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))).distinct())
     front = cut(roots.select(F.col("id").alias("seed_id"), "id", F.lit(0).alias("distance"), F.array("id").alias("path")))
-    seen = front
+    fronts = [front]
     for level in range(1, depth + 1):
         near = front.join(pairs, front.id == pairs.a).select("seed_id", F.col("b").alias("id"), F.array_append("path", F.col("b")).alias("path")).groupBy("seed_id", "id").agg(F.min("path").alias("path"))
-        front = cut(near.join(seen, ["seed_id", "id"], "left_anti").select("seed_id", "id", F.lit(level).alias("distance"), "path"))
+        front = cut(near.join(_union(fronts), ["seed_id", "id"], "left_anti").select("seed_id", "id", F.lit(level).alias("distance"), "path"))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen.filter("distance > 0")
+        fronts.append(front)
+    return _union(fronts).filter("distance > 0")
 
 
 def impact_score(summary: DataFrame) -> DataFrame:
@@ -113,18 +119,16 @@ def affected_files(nodes: DataFrame, links: DataFrame, seeds: DataFrame, depth:
     return found.join(files, "id").orderBy("depth", "ord", "id").limit(most).select("id", "depth")
 
 
-def parent_chain(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """id, ancestor and distance of every ancestor that exists. Cycles end where they come back; chains end after ``most`` steps."""
+def parent_chain(nodes: DataFrame) -> DataFrame:
+    """id, ancestor and distance of every ancestor that exists, however far. Cycles end where they come back."""
     up = cut(nodes.select("id", F.col("parent_id").alias("ancestor")).filter("parent_id is not null").join(nodes.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id", "ancestor"))
     front = cut(up.withColumn("distance", F.lit(1)))
-    seen = front
+    fronts = [front]
     step = up.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"))
-    for distance in range(2, most + 1):
-        front = cut(front.join(step, "ancestor").select("id", F.col("next").alias("ancestor"), F.lit(distance).alias("distance")).join(seen, ["id", "ancestor"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front))
-    return seen
+    while not front.isEmpty():
+        front = cut(front.join(step, "ancestor").select("id", F.col("next").alias("ancestor"), F.lit(len(fronts) + 1).alias("distance")).join(_union(fronts), ["id", "ancestor"], "left_anti"))
+        fronts.append(front)
+    return _union(fronts)
 
 
 def hierarchy_depth(nodes: DataFrame) -> DataFrame:
@@ -149,14 +153,37 @@ def rendered_edges(nodes: DataFrame, links: DataFrame, visible: Column) -> DataF
 
 
 def short_cycles(edges: DataFrame) -> DataFrame:
-    """id and length (2 or 3, the shortest) of nodes on a short directed cycle."""
-    one = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).filter("a != b").distinct()
-    two = one.join(one.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", "b", "c")
-    pairs = two.filter("a = c").select(F.col("a").alias("id"), F.lit(2).alias("length"))
-    triples = two.filter("a != c").join(one.select(F.col("a").alias("c"), F.col("b").alias("a")), ["c", "a"], "left_semi").select(F.col("a").alias("id"), F.lit(3).alias("length"))
+    """id and length (2 or 3, the shortest) of nodes on a short directed cycle.
+
+    A triangle is looked for at its end of fewest edges only, which few ends of as many edges can have around them, so hubs make no wedges.
+    """
+    one = cut(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).filter("a != b").distinct())
+    back = one.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    pairs = one.join(back, ["a", "b"], "left_semi").select(F.col("a").alias("id"), F.lit(2).alias("length"))
+    rank = one.unionByName(back).groupBy("a").agg(F.count(F.lit(1)).alias("n")).select(F.col("a").alias("id"), F.struct("n", F.col("a").alias("id")).alias("rank"))
+    of = lambda c: rank.select(F.col("id").alias(c), F.col("rank").alias(f"rank_{c}"))
+    ranked = cut(one.join(of("a"), "a").join(of("b"), "b"))
+    into = ranked.filter("rank_a > rank_b").select(F.col("a").alias("x"), F.col("b").alias("at"))
+    out = ranked.filter("rank_b > rank_a").select(F.col("a").alias("at"), F.col("b").alias("y"))
+    closed = into.join(out, "at").join(one.select(F.col("a").alias("y"), F.col("b").alias("x")), ["x", "y"], "left_semi")
+    triples = closed.select(F.explode(F.array("x", "at", "y")).alias("id"), F.lit(3).alias("length"))
     return pairs.unionByName(triples).groupBy("id").agg(F.min("length").alias("length"))
 
 
+def pattern_hints(nodes: DataFrame, edges: DataFrame, many: int = 10) -> DataFrame:
+    """id, in_cycle (a directed cycle of two or three) and crowded (more than ``many`` distinct neighbours) of every node."""
+    near = both_ways(edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))).filter("a != b").distinct().groupBy(F.col("a").alias("id")).agg((F.count(F.lit(1)) > many).alias("crowded"))
+    cycles = short_cycles(edges).select("id", F.lit(True).alias("in_cycle"))
+    found = nodes.select("id").join(cycles, "id", "left").join(near, "id", "left")
+    return found.select("id", F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
+
+
+def focused_edges(nodes: DataFrame, links: DataFrame, visible: Column, selected: str) -> DataFrame:
+    """The rendered edges that touch a node, or the visible one that stands for it."""
+    mine = nearest_ancestor(nodes, visible).filter(F.col("id") == selected).select(F.col("ancestor").alias("mine"))
+    return rendered_edges(nodes, links, visible).crossJoin(F.broadcast(mine.limit(1))).filter("source = mine or target = mine").drop("mine")
+
+
 def path_trie(paths: DataFrame, root: str, path_col: str = "id") -> DataFrame:
     """path, parent, name, is_dir and files of each entry of the explorer's tree."""
     rel = F.substring(F.col(path_col), len(root) + 2, 1 << 30)

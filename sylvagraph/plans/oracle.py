@@ -99,7 +99,7 @@ STORED = """stored AS MATERIALIZED (
     FROM links WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes))"""
 ANCESTRY = """chain AS (
     SELECT n.id, p.id AS ancestor, p.parent_id AS up, 1 AS distance FROM nodes n JOIN nodes p ON p.id = n.parent_id
-    UNION ALL SELECT c.id, p.id, p.parent_id, distance + 1 FROM chain c JOIN nodes p ON p.id = c.up WHERE distance < 64)"""
+    UNION ALL SELECT c.id, p.id, p.parent_id, distance + 1 FROM chain c JOIN nodes p ON p.id = c.up WHERE distance < (SELECT count(*) FROM nodes))"""
 ORPHANS = """orphans AS (
     SELECT n.id, n.type, n.ord FROM nodes n JOIN classified c USING (id)
     WHERE layer <> 'configuration' AND n.type NOT IN ('directory', 'project') AND n.id NOT IN (SELECT source FROM links) AND n.id NOT IN (SELECT target FROM links)

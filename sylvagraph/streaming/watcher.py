@@ -17,7 +17,7 @@ from sylvagraph.operators.project import version_diff
 from sylvagraph.operators.resolve import resolve_links
 from sylvagraph.parsing.facts import parsed
 from sylvagraph.schema import CodeGraph
-from sylvagraph.sources.files import is_ignored_event
+from sylvagraph.sources.files import MOST_BYTES, is_ignored_event
 
 FILES = "path string, mtime timestamp, length bigint, content string"
 
@@ -37,7 +37,9 @@ def applied(files: DataFrame, events: DataFrame) -> DataFrame:
     counted = events.filter((F.col("op") == "unlink") | (F.col("op").isin("add", "change") & ~is_ignored_event(F.col("path"))))
     latest = counted.withColumn("n", F.row_number().over(last)).filter("n = 1")
     kept = files.join(latest.select("path"), "path", "left_anti")
-    return kept.unionByName(latest.filter("op != 'unlink'").select("path", F.col("ts").alias("mtime"), F.length("content").cast("bigint").alias("length"), "content"))
+    # As discovery does: a file above the size limit has no content.
+    size = F.octet_length("content").cast("bigint")
+    return kept.unionByName(latest.filter("op != 'unlink'").select("path", F.col("ts").alias("mtime"), size.alias("length"), F.when(size <= MOST_BYTES, F.col("content")).alias("content")))
 
 
 def graph_of(files: DataFrame, root: str) -> CodeGraph:
