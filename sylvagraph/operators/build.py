@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvagraph.functions.paths import ancestors, basename, dirname, structural
+from sylvagraph.lineage import cut
 from sylvagraph.operators.resolve import resolve_links
 from sylvagraph.schema import CodeGraph
 
@@ -40,8 +41,9 @@ def _nodes(df: DataFrame, label: Column, group: int | Column, kind: Column, chur
     return df.select("id", label.alias("label"), group.cast("int").alias("group"), kind.alias("type"), churn.cast("bigint").alias("churn"), adr.cast("string").alias("adr"), parent.cast("string").alias("parent_id"), exports.cast("array<struct<exported_name:string,local_name:string,is_default:boolean>>").alias("exports"), order.cast("bigint").alias("ord"))
 
 
-def raw_graph(facts: DataFrame, root: str, churn: DataFrame | None = None) -> CodeGraph:
+def raw_graph(facts: DataFrame, root: str, churn: DataFrame | None = None, modules: DataFrame | None = None) -> CodeGraph:
     """Nodes and unresolved links of parsed files. ``churn``: path and n; files without one, or with zero, count once.
+    ``modules``: path, specifier and resolved of imports whose file is known; others count if they are local.
 
     A file's symbols of one name are one node, a function or class by which came last.
     """
@@ -57,8 +59,10 @@ def raw_graph(facts: DataFrame, root: str, churn: DataFrame | None = None) -> Co
     nodes = directory_nodes(files, root).unionByName(file_nodes).unionByName(symbols)
 
     code = files.filter(~is_adr)
-    imports = code.select("path", "ord", F.posexplode("imports").alias("at", "i")).filter(is_local(F.col("i.path")))
-    target = joined(dirname(F.col("path")), F.col("i.path"))
+    imports = code.select("path", "ord", F.posexplode("imports").alias("at", "i")).withColumn("specifier", F.col("i.path"))
+    known = modules if modules is not None else facts.sparkSession.createDataFrame([], "path string, specifier string, resolved string")
+    imports = imports.join(known.select("path", "specifier", "resolved"), ["path", "specifier"], "left").filter(F.col("resolved").isNotNull() | is_local(F.col("specifier")))
+    target = F.coalesce("resolved", joined(dirname(F.col("path")), F.col("specifier")))
     names = F.when(F.size("i.imported_entities") > 0, F.col("i.imported_entities")).otherwise(F.array(F.lit("*")))
     named = imports.select("path", "ord", "at", target.alias("file"), F.posexplode(names).alias("k", "name"))
     whole = F.col("name") == "*"
@@ -70,15 +74,25 @@ def raw_graph(facts: DataFrame, root: str, churn: DataFrame | None = None) -> Co
     return CodeGraph(nodes, links.unionByName(adrs), root)
 
 
+def script_modules(facts: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """path, specifier and resolved of what scripts import, by the configurations among ``files`` (path, content)."""
+    from sylvagraph.operators.modules import configurations, resolved_modules
+
+    scripts = facts.filter(F.col("language").isin("javascript", "typescript", "tsx"))
+    imports = scripts.select("path", F.explode("imports").alias("i")).select("path", F.col("i.path").alias("specifier"))
+    return resolved_modules(imports, files, configurations(files), root)
+
+
 def analyze(spark: SparkSession, root: str, churn: DataFrame | None = None) -> CodeGraph:
-    """Discovers, parses, builds and resolves a project."""
+    """Discovers, parses, builds and resolves a project. Files are parsed once."""
     from sylvagraph.parsing.facts import parsed
     from sylvagraph.sources.files import discover
 
     files = discover(spark, root)
     if files.isEmpty():
         raise ValueError(f"no source files under {root}")
-    raw = raw_graph(parsed(files), root, churn)
+    facts = cut(parsed(files))
+    raw = raw_graph(facts, root, churn, script_modules(facts, files, root))
     return CodeGraph(raw.nodes, resolve_links(raw.nodes, raw.links), root)
 
 

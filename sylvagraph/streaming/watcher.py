@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sylvagraph.operators.build import raw_graph
+from sylvagraph.lineage import cut
+from sylvagraph.operators.build import raw_graph, script_modules
 from sylvagraph.operators.project import version_diff
 from sylvagraph.operators.resolve import resolve_links
 from sylvagraph.parsing.facts import parsed
@@ -43,7 +44,8 @@ def applied(files: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def graph_of(files: DataFrame, root: str) -> CodeGraph:
-    raw = raw_graph(parsed(files), root)
+    facts = cut(parsed(files))
+    raw = raw_graph(facts, root, modules=script_modules(facts, files, root))
     return CodeGraph(raw.nodes, resolve_links(raw.nodes, raw.links), root)
 
 
