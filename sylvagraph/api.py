@@ -140,10 +140,15 @@ def prepare_change_context(graph: CodeGraph, target: str, texts: Texts = None, t
     out = {
         "target": node, "alternatives": others, "match": reason, "dependencies": get_node_dependencies(graph, node["id"]), "blast_radius": blast | {"nodes": blast["nodes"][:12]},
         "layer": _rows(classified.filter(F.col("id") == node["id"]).select("layer", "reason"))[0],
-        "violations": _rows(architecture.violations(edges).filter((F.col("s") == file) | (F.col("t") == file))), "recommended_files": [file, *sorted(near - {file})][:15],
+        "recommended_files": [file, *sorted(near - {file})][:15],
     }
+    related = {node["id"], *(r["id"] for r in blast["nodes"]), *near}
+    around = graph.nodes.sparkSession.createDataFrame([(x,) for x in sorted(related)], "node_id string")
+    broken = architecture.violations(edges)
+    ends = broken.join(around.withColumnRenamed("node_id", "s"), "s", "left_semi").unionByName(broken.join(around.withColumnRenamed("node_id", "t"), "t", "left_semi").select(*broken.columns)).distinct()
+    patterns = health.pattern_rows(graph, classified, traverse.hierarchy_depth(graph.nodes)).join(around, "node_id", "left_semi")
+    out |= {"violations": _rows(ends.orderBy("s", "t")), "patterns": _rows(patterns.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern_id"))}
     if include_security_findings:
-        around = graph.nodes.sparkSession.createDataFrame([(x,) for x in sorted(near)], "node_id string")
         out["findings"] = _rows(_findings(graph, texts).join(around, "node_id", "left_semi").orderBy("node_id", "rule_id"), 10)
     return out
 

@@ -41,9 +41,10 @@ def _nodes(df: DataFrame, label: Column, group: int | Column, kind: Column, chur
     return df.select("id", label.alias("label"), group.cast("int").alias("group"), kind.alias("type"), churn.cast("bigint").alias("churn"), adr.cast("string").alias("adr"), parent.cast("string").alias("parent_id"), exports.cast("array<struct<exported_name:string,local_name:string,is_default:boolean>>").alias("exports"), order.cast("bigint").alias("ord"))
 
 
-def raw_graph(facts: DataFrame, root: str, churn: DataFrame | None = None, modules: DataFrame | None = None) -> CodeGraph:
+def raw_graph(facts: DataFrame, root: str, churn: DataFrame | None = None, modules: DataFrame | None = None, folders: DataFrame | None = None) -> CodeGraph:
     """Nodes and unresolved links of parsed files. ``churn``: path and n; files without one, or with zero, count once.
-    ``modules``: path, specifier and resolved of imports whose file is known; others count if they are local.
+    ``modules``: path, specifier and resolved of imports whose file is known; others count if they are local. ``folders``: path (with a slash at the end) of
+    folders that are nodes even without files.
 
     A file's symbols of one name are one node, a function or class by which came last.
     """
@@ -56,7 +57,8 @@ def raw_graph(facts: DataFrame, root: str, churn: DataFrame | None = None, modul
     each = files.filter(~is_adr).select("path", "churn", "ord", F.posexplode("entities").alias("at", "e"))
     last = each.groupBy("path", "churn", "ord", F.col("e.name").alias("name")).agg(F.max_by("e.type", "at").alias("kind"), F.min("at").alias("at"))
     symbols = _nodes(last.withColumn("id", F.concat("path", F.lit("#"), "name")), F.col("name"), F.when(F.col("kind") == "class", 2).otherwise(3), F.col("kind"), F.col("churn"), F.lit(None), F.col("path"), F.lit(None), F.col("ord") + F.col("at") + 1)
-    nodes = directory_nodes(files, root).unionByName(file_nodes).unionByName(symbols)
+    below = files.select("path") if folders is None else files.select("path").unionByName(folders.select("path"))
+    nodes = directory_nodes(below, root).unionByName(file_nodes).unionByName(symbols)
 
     code = files.filter(~is_adr)
     imports = code.select("path", "ord", F.posexplode("imports").alias("at", "i")).withColumn("specifier", F.col("i.path"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +108,19 @@ def isolated_files(graph: CodeGraph, classified: DataFrame, most: int = 10) -> D
     return some.select(F.lit("isolated_files").alias("pattern_id"), F.col("id").alias("node_id"), F.lit(0).cast("bigint").alias("metric"))
 
 
+def pattern_rows(graph: CodeGraph, classified: DataFrame, with_depth: DataFrame) -> DataFrame:
+    """pattern_id, node_id and metric of the nodes of all patterns."""
+    counted = degrees(graph.nodes, graph.links)
+    parts = [hub_nodes(counted), high_fan_out_files(counted), deep_nesting(with_depth), churn_hotspots(graph.nodes), broad_adr_impact(graph.nodes, graph.links), isolated_files(graph, classified)]
+    return reduce(DataFrame.unionByName, (p.select("pattern_id", "node_id", F.col("metric").cast("bigint").alias("metric")) for p in parts))
+
+
+def violation_ends(found: DataFrame, most: int = 15) -> DataFrame:
+    """place and node_id of both ends of the first violations (s, t), repeats included."""
+    first = found.orderBy("s", "t").limit(most).agg(F.sort_array(F.collect_list(F.struct("s", "t"))).alias("v"))
+    return first.select(F.posexplode(F.flatten(F.transform("v", lambda x: F.array(x.s, x.t)))).alias("place", "node_id"))
+
+
 def pattern_summary(graph: CodeGraph, classified: DataFrame, edges: DataFrame, with_depth: DataFrame) -> DataFrame:
     """pattern_id, severity and n of the patterns that are there."""
     counted = degrees(graph.nodes, graph.links)

@@ -15,6 +15,10 @@ from sylvagraph.functions.paths import structural
 from sylvagraph.lineage import cut
 
 
+#: Types in the order of the layout; others come last.
+LAYOUT = ["directory", "file", "class", "function", "adr"]
+
+
 def levels(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """seed_id, id and depth (0: the seed) of what each seed reaches along ``edges`` (a to b). Nodes need not exist.
 
@@ -184,6 +188,29 @@ def focused_edges(nodes: DataFrame, links: DataFrame, visible: Column, selected:
     return rendered_edges(nodes, links, visible).crossJoin(F.broadcast(mine.limit(1))).filter("source = mine or target = mine").drop("mine")
 
 
+def tree(nodes: DataFrame, shown: Column) -> DataFrame:
+    """id and parent (null: a root) of the ``shown`` nodes. Under a parent that isn't shown or whose own parents go round in a circle, a node is a root.
+
+    Nodes are reached from the top, so circles need no search: they and what hangs on them are what isn't reached.
+    """
+    child = nodes.filter("parent_id is not null").select(F.col("parent_id").alias("a"), F.col("id").alias("b"))
+    tops = nodes.join(nodes.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select(F.lit("all").alias("seed_id"), "id")
+    reached = levels(child, tops).select("id", F.lit(True).alias("reached"))
+    mine = nodes.filter(shown).select("id", "parent_id")
+    clean = mine.join(reached, "id", "left_semi").join(mine.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    return mine.select("id").join(clean.select("id", F.col("parent_id").alias("parent")), "id", "left")
+
+
+def in_layout_order(nodes: DataFrame) -> DataFrame:
+    """By type, then label."""
+    return nodes.orderBy(F.coalesce(F.array_position(F.array(*map(F.lit, LAYOUT)), F.col("type")), F.lit(0)) == 0, F.array_position(F.array(*map(F.lit, LAYOUT)), F.col("type")), "label", "id")
+
+
+def in_tree_order(entries: DataFrame) -> DataFrame:
+    """The entries of ``path_trie``, folder by folder, folders before files."""
+    return entries.orderBy("parent", F.desc("is_dir"), "name")
+
+
 def path_trie(paths: DataFrame, root: str, path_col: str = "id") -> DataFrame:
     """path, parent, name, is_dir and files of each entry of the explorer's tree."""
     rel = F.substring(F.col(path_col), len(root) + 2, 1 << 30)

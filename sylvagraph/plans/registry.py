@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from sylvagraph.operators import activity, architecture, health, project, requests, search, security, stats, traverse
 from sylvagraph.operators.resolve import unresolved_links
 from sylvagraph.plans import oracle as o
+from sylvagraph.functions import texts
 from sylvagraph.schema import CodeGraph
+from sylvagraph.sinks import skills
 from sylvagraph.sources import adapter
 from sylvagraph.sources.tables import read_table
 
@@ -582,6 +584,33 @@ def _(spark, sf_dir):
     return requests.inferred(asked).select("conv_id", "turn", F.posexplode("keywords").alias("place", "keyword"))
 
 
+# Trees, notes and texts.
+@on_nodes("tree_parents", o.sql("SELECT n.id, p.id AS parent FROM nodes n LEFT JOIN (SELECT id FROM nodes WHERE type <> 'directory') p ON p.id = n.parent_id WHERE type <> 'directory'", base=FILES_ONLY))
+def _(g):
+    return traverse.tree(g.nodes, F.col("type") != "directory")
+
+
+@on_graph("violation_ends", o.sql("SELECT CAST((k - 1) * 2 + side AS INTEGER) AS place, CASE side WHEN 0 THEN s ELSE t END AS node_id FROM (SELECT s, t, row_number() OVER (ORDER BY s, t) AS k FROM violations), (VALUES (0), (1)) x(side) WHERE k <= 15", o.CLASSIFIED, o.EDGES))
+def _(g):
+    return health.violation_ends(architecture.violations(layered(g)[1]))
+
+
+_NEAR = "near AS (SELECT a AS id, count(*) AS n FROM (SELECT source_id AS a, target_id AS b FROM stored UNION SELECT target_id, source_id FROM stored) WHERE a <> b GROUP BY a)"
+
+
+@on_graph("project_skills", o.sql("SELECT f.id AS node_id, regexp_replace(lower(label), '[^a-z0-9]', '-', 'g') || '-context.md' AS file_name, contains(coalesce(CASE WHEN n > 10 THEN 'many' END, ''), 'many') AS crowded FROM (SELECT * FROM nodes WHERE type = 'file' AND NOT contains(id, '/.') AND NOT contains(id, '/node_modules/') ORDER BY ord, id LIMIT 10) f LEFT JOIN near ON near.id = f.id", o.STORED, _NEAR))
+def _(g):
+    found = skills.skills(g.nodes, stats.graph_edges(g.nodes, g.links), skills.project_files(g.nodes))
+    return found.select("node_id", "file_name", F.col("text").contains("many neighbours").alias("crowded"))
+
+
+@query("event_ages", "SELECT event_id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN m // 60 || 'h ago' WHEN m < 10080 THEN m // 1440 || 'd ago' ELSE strftime(ts, '%b %-d, %Y') END AS age FROM (SELECT *, (epoch_us(max(ts) OVER ()) - epoch_us(ts)) // 60000000 AS m FROM events)")
+def _(spark, sf_dir):
+    events = read_table(spark, sf_dir, "events").select("event_id", "ts")
+    latest = events.agg(F.max("ts").alias("now"))
+    return events.withColumn("now", latest.scalar()).select("event_id", texts.age(F.col("ts"), F.col("now")).alias("age"))
+
+
 # Projects and campaigns.
 ASKED_FOR = ["part_11", "sym_7", "services"]
 _Q = "(VALUES ('part_11'), ('sym_7'), ('services')) q(q)"

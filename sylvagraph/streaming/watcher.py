@@ -1,7 +1,8 @@
 """File events as a stream: each batch becomes a new version of the files' table, from which the graph follows.
 
 Events (seq, op, path, ts, content) are rows of an event table, since a file source shows neither changes nor deletions. A
-version is a folder of Parquet; a batch that is replayed writes the same version again.
+version is a folder of Parquet; a batch that is replayed writes the same version again. A folder that was added is a row whose path ends in a
+slash. Folders without such a row are there as long as a file is in them. Give ``watch`` a ``processingTime`` to gather bursts of events.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from sylvagraph.parsing.facts import parsed
 from sylvagraph.schema import CodeGraph
 from sylvagraph.sources.files import MOST_BYTES, is_ignored_event
 
+GONE = ["unlink", "unlinkDir"]
 FILES = "path string, mtime timestamp, length bigint, content string"
 
 
@@ -35,17 +37,19 @@ def files_at(spark: SparkSession, base: str, version: int) -> DataFrame:
 def applied(files: DataFrame, events: DataFrame) -> DataFrame:
     """``files`` after the last event of each path. Additions and changes in ignored folders don't count; deletions always do."""
     last = Window.partitionBy("path").orderBy(F.desc("seq"))
-    counted = events.filter((F.col("op") == "unlink") | (F.col("op").isin("add", "change") & ~is_ignored_event(F.col("path"))))
+    events = events.withColumn("path", F.when(F.col("op").isin("addDir", "unlinkDir"), F.concat("path", F.lit("/"))).otherwise(F.col("path")))
+    counted = events.filter(F.col("op").isin(GONE) | (F.col("op").isin("add", "change", "addDir") & ~is_ignored_event(F.col("path"))))
     latest = counted.withColumn("n", F.row_number().over(last)).filter("n = 1")
     kept = files.join(latest.select("path"), "path", "left_anti")
     # As discovery does: a file above the size limit has no content.
-    size = F.octet_length("content").cast("bigint")
-    return kept.unionByName(latest.filter("op != 'unlink'").select("path", F.col("ts").alias("mtime"), size.alias("length"), F.when(size <= MOST_BYTES, F.col("content")).alias("content")))
+    size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint")
+    return kept.unionByName(latest.filter(~F.col("op").isin(GONE)).select("path", F.col("ts").alias("mtime"), size.alias("length"), F.when(size <= MOST_BYTES, F.col("content")).alias("content")))
 
 
 def graph_of(files: DataFrame, root: str) -> CodeGraph:
+    folders, files = files.filter(F.col("path").endswith("/")), files.filter(~F.col("path").endswith("/"))
     facts = cut(parsed(files))
-    raw = raw_graph(facts, root, modules=script_modules(facts, files, root))
+    raw = raw_graph(facts, root, modules=script_modules(facts, files, root), folders=folders)
     return CodeGraph(raw.nodes, resolve_links(raw.nodes, raw.links), root)
 
 
