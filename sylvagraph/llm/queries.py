@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvagraph.llm import bpe, classlm, htmltext, mixing, oracle, pq, quality, simhash, tokenfile, topk, urlfilter
+from sylvagraph.llm import bpe, classlm, collocations, htmltext, lexical, licenses, mixing, oracle, pq, quality, simhash, text_oracle, tokenfile, topk, urlfilter
 from sylvagraph.sources.tables import read_table
 
 
@@ -68,6 +68,18 @@ def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.with_starts(sums).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(read_table(spark, sf_dir, "documents"), keep=["doc_id"]), ["doc_id"])
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_pfair_mixing": op2_pfair_mixing,
@@ -79,10 +91,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_class_lm": op9_class_lm,
     "op10_token_parquet": op10_token_parquet,
+    "op11_license_scan": op11_license_scan,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_pfair_mixing": oracle.pfair_mixing(),
     "op5_pq_neardup": oracle.NEAR_VECTORS,
     "op7_voronoi_topk": oracle.TOP_K,
+    "op11_license_scan": text_oracle.license_scan(),
+    "op12_lexical_search": text_oracle.LEXICAL,
+    "op13_collocations": text_oracle.COLLOCATIONS,
 }
