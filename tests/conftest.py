@@ -34,5 +34,6 @@ def duck(sf_dir):
 
 def rows(frame):
     """Rows of a pandas frame, columns by name, in a fixed order."""
-    frame = frame[sorted(frame.columns)]
-    return sorted(tuple("~" if v is None or v != v else round(v, 6) if isinstance(v, float) else str(v) for v in r) for r in frame.astype(object).itertuples(index=False))
+    frame = frame[sorted(frame.columns)].astype(object)
+    frame = frame.where(frame.notna(), None)
+    return sorted(tuple("~" if v is None or v != v else round(v, 6) if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
