@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sylvagraph.functions.paths import ancestors, basename, dirname, structural
 from sylvagraph.lineage import cut
+from sylvagraph.operators.holding import first_holding
 from sylvagraph.operators.resolve import resolve_links
 from sylvagraph.schema import CodeGraph
 
@@ -41,13 +42,8 @@ def _nodes(df: DataFrame, label: Column, group: int | Column, kind: Column, chur
     return df.select("id", label.alias("label"), group.cast("int").alias("group"), kind.alias("type"), churn.cast("bigint").alias("churn"), adr.cast("string").alias("adr"), parent.cast("string").alias("parent_id"), exports.cast("array<struct<exported_name:string,local_name:string,is_default:boolean>>").alias("exports"), order.cast("bigint").alias("ord"))
 
 
-def raw_graph(facts: DataFrame, root: str, churn: DataFrame | None = None, modules: DataFrame | None = None, folders: DataFrame | None = None) -> CodeGraph:
-    """Nodes and unresolved links of parsed files. ``churn``: path and n; files without one, or with zero, count once.
-    ``modules``: path, specifier and resolved of imports whose file is known; others count if they are local. ``folders``: path (with a slash at the end) of
-    folders that are nodes even without files.
-
-    A file's symbols of one name are one node, a function or class by which came last.
-    """
+def code_nodes(facts: DataFrame, root: str, churn: DataFrame | None = None) -> DataFrame:
+    """The nodes of parsed files and of their symbols. A file's symbols of one name are one node, a function or class by which came last."""
     counts = churn.select("path", "n") if churn is not None else facts.sparkSession.createDataFrame([], "path string, n bigint")
     files = facts.join(counts, "path", "left").withColumn("churn", F.when(F.coalesce("n", F.lit(0)) == 0, 1).otherwise(F.col("n"))).withColumn("ord", order_of(F.col("path"))).withColumn("id", F.col("path"))
     parent = F.when(dirname(F.col("path")) != root, dirname(F.col("path")))
@@ -57,10 +53,12 @@ def raw_graph(facts: DataFrame, root: str, churn: DataFrame | None = None, modul
     each = files.filter(~is_adr).select("path", "churn", "ord", F.posexplode("entities").alias("at", "e"))
     last = each.groupBy("path", "churn", "ord", F.col("e.name").alias("name")).agg(F.max_by("e.type", "at").alias("kind"), F.min("at").alias("at"))
     symbols = _nodes(last.withColumn("id", F.concat("path", F.lit("#"), "name")), F.col("name"), F.when(F.col("kind") == "class", 2).otherwise(3), F.col("kind"), F.col("churn"), F.lit(None), F.col("path"), F.lit(None), F.col("ord") + F.col("at") + 1)
-    below = files.select("path") if folders is None else files.select("path").unionByName(folders.select("path"))
-    nodes = directory_nodes(below, root).unionByName(file_nodes).unionByName(symbols)
+    return file_nodes.unionByName(symbols)
 
-    code = files.filter(~is_adr)
+
+def import_links(facts: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """``modules``: path, specifier and resolved of imports whose file is known; others count if they are local."""
+    code = facts.filter(~F.col("is_markdown_adr")).withColumn("ord", order_of(F.col("path")))
     imports = code.select("path", "ord", F.posexplode("imports").alias("at", "i")).withColumn("specifier", F.col("i.path"))
     known = modules if modules is not None else facts.sparkSession.createDataFrame([], "path string, specifier string, resolved string")
     imports = imports.join(known.select("path", "specifier", "resolved"), ["path", "specifier"], "left").filter(F.col("resolved").isNotNull() | is_local(F.col("specifier")))
@@ -68,12 +66,28 @@ def raw_graph(facts: DataFrame, root: str, churn: DataFrame | None = None, modul
     names = F.when(F.size("i.imported_entities") > 0, F.col("i.imported_entities")).otherwise(F.array(F.lit("*")))
     named = imports.select("path", "ord", "at", target.alias("file"), F.posexplode(names).alias("k", "name"))
     whole = F.col("name") == "*"
-    links = named.select(F.col("path").alias("source"), F.when(whole, F.col("file")).otherwise(F.concat("file", F.lit("#"), "name")).alias("target"), F.when(whole, 1).otherwise(2).alias("value"), F.lit("import").alias("type"), (F.col("ord") + F.col("at") * 1000 + F.col("k")).alias("ord"))
-    # The first decision record whose id holds the annotation; records are few, so they are one array.
-    records = file_nodes.filter("type = 'adr'").agg(F.sort_array(F.collect_list(F.struct("ord", "id"))).alias("r"))
-    marked = code.filter("adr is not null").withColumn("r", records.scalar()).withColumn("hit", F.get(F.filter("r", lambda x: F.lower(x.id).contains(F.lower("adr"))), F.lit(0)))
-    adrs = marked.filter("hit is not null").select(F.col("path").alias("source"), F.col("hit.id").alias("target"), F.lit(3).alias("value"), F.lit("adr").alias("type"), (F.col("ord") + STEP - 1).alias("ord"))
-    return CodeGraph(nodes, links.unionByName(adrs), root)
+    return named.select(F.col("path").alias("source"), F.when(whole, F.col("file")).otherwise(F.concat("file", F.lit("#"), "name")).alias("target"), F.when(whole, 1).otherwise(2).alias("value"), F.lit("import").alias("type"), (F.col("ord") + F.col("at") * 1000 + F.col("k")).alias("ord"))
+
+
+def decision_records(facts: DataFrame) -> DataFrame:
+    """id and ord of the decision records among parsed files."""
+    return facts.filter("is_markdown_adr").select(F.col("path").alias("id"), order_of(F.col("path")).alias("ord"))
+
+
+def adr_links(facts: DataFrame, records: DataFrame) -> DataFrame:
+    """From each annotated file to the first decision record whose id holds its annotation, whatever the case."""
+    marked = facts.filter(~F.col("is_markdown_adr") & F.col("adr").isNotNull()).select("path", F.lower("adr").alias("needle"))
+    hits = first_holding(marked.select("needle"), records.select("ord", "id", F.lower("id").alias("text")))
+    return marked.join(hits, "needle").select(F.col("path").alias("source"), F.col("id").alias("target"), F.lit(3).alias("value"), F.lit("adr").alias("type"), (order_of(F.col("path")) + STEP - 1).alias("ord"))
+
+
+def raw_graph(facts: DataFrame, root: str, churn: DataFrame | None = None, modules: DataFrame | None = None, folders: DataFrame | None = None) -> CodeGraph:
+    """Nodes and unresolved links of parsed files. ``churn``: path and n; files without one, or with zero, count once.
+    ``modules``: as for ``import_links``. ``folders``: path (with a slash at the end) of folders that are nodes even without files.
+    """
+    below = facts.select("path") if folders is None else facts.select("path").unionByName(folders.select("path"))
+    nodes = directory_nodes(below, root).unionByName(code_nodes(facts, root, churn))
+    return CodeGraph(nodes, import_links(facts, modules).unionByName(adr_links(facts, decision_records(facts))), root)
 
 
 def script_modules(facts: DataFrame, files: DataFrame, root: str) -> DataFrame:

@@ -72,8 +72,8 @@ def _files_for(place: Column, way: Column) -> Column:
     return F.array(*(F.struct((way * STEP + i).alias("rank"), c.alias("candidate")) for i, c in enumerate(out)))
 
 
-def resolved_modules(imports: DataFrame, files: DataFrame, configs: DataFrame, root: str) -> DataFrame:
-    """path, specifier and resolved for every distinct import (path, specifier) that a file (path) of the tree answers."""
+def tried_modules(imports: DataFrame, configs: DataFrame, root: str) -> DataFrame:
+    """path, specifier, rank and candidate: the files that could answer each distinct import (path, specifier), the lowest rank first."""
     asked = imports.select("path", "specifier").filter("path is not null and specifier is not null").distinct()
     options = nearest_configuration(asked.select("path").distinct(), configs, root).join(configs.drop("folder"), "config", "left")
     spec, none = F.col("specifier"), F.array().cast("array<string>")
@@ -81,6 +81,15 @@ def resolved_modules(imports: DataFrame, files: DataFrame, configs: DataFrame, r
     based = F.when(F.col("base").isNotNull(), F.array(joined(F.col("base"), spec))).otherwise(none)
     places = F.when(is_local(spec), F.array(joined(dirname(F.col("path")), spec))).otherwise(F.concat(aliased, based))
     rows = asked.join(options, "path", "left").select("path", "specifier", F.posexplode(places).alias("way", "place"))
-    tried = rows.select("path", "specifier", F.inline(_files_for(F.col("place"), F.col("way")))).filter(F.col("candidate").startswith(f"{root}/"))
+    return rows.select("path", "specifier", F.inline(_files_for(F.col("place"), F.col("way")))).filter(F.col("candidate").startswith(f"{root}/"))
+
+
+def answered(tried: DataFrame, files: DataFrame) -> DataFrame:
+    """path, specifier and resolved: the first candidate that is a file (path)."""
     known = files.select(F.col("path").alias("candidate")).distinct()
     return tried.join(known, "candidate", "left_semi").groupBy("path", "specifier").agg(F.min_by("candidate", "rank").alias("resolved"))
+
+
+def resolved_modules(imports: DataFrame, files: DataFrame, configs: DataFrame, root: str) -> DataFrame:
+    """path, specifier and resolved for every distinct import (path, specifier) that a file (path) of the tree answers."""
+    return answered(tried_modules(imports, configs, root), files)

@@ -43,6 +43,36 @@ def resolve_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return exact.unionByName(moved)
 
 
+#: What tells links apart; ``target`` is what was written, before resolution.
+LINK = ["source", "target", "value", "type", "ord"]
+
+
+def with_found(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The links that resolve, with what was written as ``target`` and the node as ``found``."""
+    exact = links.join(nodes.select(F.col("id").alias("target")), "target", "left_semi").select(*LINK, F.col("target").alias("found"))
+    return exact.unionByName(ranked_targets(nodes, links).filter("found is not null").select(*LINK, "found"))
+
+
+def waiting(links: DataFrame) -> DataFrame:
+    """The inverted table of links: a row for each id, as ``key``, whose coming, going or change may lead the link elsewhere.
+
+    Keys are files and folders: a symbol comes and goes with its file.
+    """
+    target = F.col("target")
+    keys = F.array_distinct(F.array(*(F.concat(structural(target), F.lit(s)) for s in TRIED)))
+    return links.select(F.explode(keys).alias("key"), *LINK)
+
+
+def touched_links(waits: DataFrame, keys: DataFrame) -> DataFrame:
+    """The links that wait for any of ``keys`` (key)."""
+    return waits.join(keys.select("key").distinct(), "key", "left_semi").select(*LINK).distinct()
+
+
+def reresolved(before: DataFrame, again: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``before`` (as of ``with_found``) where only the links ``again`` are resolved anew, against ``nodes``."""
+    return before.join(again, LINK, "left_anti").select(*LINK, "found").unionByName(with_found(nodes, again))
+
+
 def unresolved_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """The links that resolution drops."""
     return ranked_targets(nodes, links).filter("found is null").select(*links.columns)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvagraph.functions.paths import basename, stem, structural
+from sylvagraph.operators.holding import holding
+from sylvagraph.operators.patterns import is_safe
 
 # What a match adds. Keys name what is compared: the label, the file's base name, its stem.
 GENERIC = {"label=": 140, "base=": 180, "stem=": 220, "label_stem=": 160, "id$": 160, "label^": 60, "base^": 80, "stem^": 100, "label*": 25, "id/": 20}
@@ -128,11 +130,10 @@ def is_declaration(line: Column) -> Column:
 
 
 def line_test(query: str, regex: bool = False, case_sensitive: bool = False):
-    """A test of lines. Patterns that nest unbounded repetition are refused."""
+    """A test of lines. Patterns that nest repetitions or have too many of them are refused."""
     if regex:
-        if re.search(r"\([^()]*[+*][^()]*\)[+*{]", query):
+        if not is_safe(query):
             raise ValueError("unsafe pattern")
-        re.compile(query)
         return lambda line: line.rlike(query if case_sensitive else f"(?i){query}")
     if case_sensitive:
         return lambda line: line.contains(query)
@@ -148,7 +149,9 @@ def signatures(nodes: DataFrame, lines: DataFrame, query: str, kind: str | None
     found = lines.filter(is_declaration(F.col("line")) & test(F.col("line"))) if query.strip() else lines.limit(0)
     files = nodes.filter("type = 'file'").select(F.col("id").alias("file_id"), F.col("ord").alias("file_ord"))
     symbols = nodes.filter(F.col("id").contains("#")).select(F.col("parent_id").alias("file_id"), F.col("id").alias("symbol_id"), F.col("type").alias("symbol_type"), "label", "ord")
-    own = found.join(symbols, "file_id").filter(F.col("line").contains(F.col("label"))).groupBy("file_id", "line_no").agg(F.min_by(F.struct("symbol_id", "symbol_type"), "ord").alias("s"))
+    texts = found.select("file_id", "line_no", F.col("line").alias("text"))
+    held = holding(symbols.select("file_id", F.col("label").alias("needle")), texts, ["file_id"]).withColumnRenamed("needle", "label")
+    own = held.join(symbols, ["file_id", "label"]).groupBy("file_id", "line_no").agg(F.min_by(F.struct("symbol_id", "symbol_type"), F.struct("ord", "symbol_id")).alias("s"))
     rows = found.join(files, "file_id").join(own, ["file_id", "line_no"], "left").select(
         F.col("file_id").alias("node_id"), F.col("s.symbol_id").alias("symbol_id"), F.col("s.symbol_type").alias("symbol_type"), F.col("line_no").alias("line"), F.trim("line").alias("preview"), "file_ord"
     )

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvagraph.functions.paths import structural
 from sylvagraph.lineage import cut
+from sylvagraph.operators import climb
 
 
 #: Types in the order of the layout; others come last.
@@ -123,30 +124,88 @@ def affected_files(nodes: DataFrame, links: DataFrame, seeds: DataFrame, depth:
     return found.join(files, "id").orderBy("depth", "ord", "id").limit(most).select("id", "depth")
 
 
-def parent_chain(nodes: DataFrame) -> DataFrame:
-    """id, ancestor and distance of every ancestor that exists, however far. Cycles end where they come back."""
-    up = cut(nodes.select("id", F.col("parent_id").alias("ancestor")).filter("parent_id is not null").join(nodes.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id", "ancestor"))
-    front = cut(up.withColumn("distance", F.lit(1)))
+def neighbour_order(links: DataFrame) -> DataFrame:
+    """a, b and place: the distinct neighbours of each node in the order in which a list of its outgoing links, then of its incoming ones, has them. ``links``: source, target, ord."""
+    out = links.select(F.col("source").alias("a"), F.col("target").alias("b"), F.struct(F.lit(0).alias("incoming"), "ord", F.col("target").alias("b")).alias("place"))
+    back = links.select(F.col("target").alias("a"), F.col("source").alias("b"), F.struct(F.lit(1).alias("incoming"), "ord", F.col("source").alias("b")).alias("place"))
+    return out.unionByName(back).filter("a != b").groupBy("a", "b").agg(F.min("place").alias("place"))
+
+
+def discovered(links: DataFrame, seeds: DataFrame, depth: int, most: int | None = None) -> DataFrame:
+    """What a queue that starts with the seeds (seed_id, id, start) finds, neighbours in ``neighbour_order``: seed_id, id, depth, rank and path.
+
+    ``rank`` orders what one queue finds within a depth: the places by which a node was first reached, from the seed on. ``path`` is the way of that first discovery. With ``most``
+    no level is begun once some queue has found so many, since a queue that stops there needs no more; what is over is the caller's to cut.
+    """
+    pairs = cut(neighbour_order(links))
+    none = "array<struct<incoming:int,ord:bigint,b:string>>"
+    start = F.array(F.struct(F.lit(0).alias("incoming"), F.col("start").cast("bigint").alias("ord"), F.col("id").alias("b"))).cast(none)
+    front = cut(seeds.select("seed_id", "id", F.lit(0).alias("depth"), start.alias("rank"), F.array("id").alias("path")).groupBy("seed_id", "id", "depth").agg(F.min("rank").alias("rank"), F.min_by("path", "rank").alias("path")))
     fronts = [front]
-    step = up.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"))
-    while not front.isEmpty():
-        front = cut(front.join(step, "ancestor").select("id", F.col("next").alias("ancestor"), F.lit(len(fronts) + 1).alias("distance")).join(_union(fronts), ["id", "ancestor"], "left_anti"))
+    for level in range(1, depth + 1):
+        if most is not None and not _union(fronts).groupBy("seed_id").count().filter(F.col("count") < most).limit(1).count():
+            break
+        near = front.join(pairs, front.id == pairs.a).select("seed_id", F.col("b").alias("id"), F.array_append("rank", F.col("place")).alias("rank"), F.array_append("path", F.col("b")).alias("path"))
+        first = near.groupBy("seed_id", "id").agg(F.min(F.struct("rank", "path")).alias("f"))
+        front = cut(first.join(_union(fronts).select("seed_id", "id"), ["seed_id", "id"], "left_anti").select("seed_id", "id", F.lit(level).alias("depth"), "f.rank", "f.path"))
+        if front.isEmpty():
+            break
         fronts.append(front)
     return _union(fronts)
 
 
+def collapsed_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """source, target and ord of file-to-file links; symbols count as their files, repeats stay."""
+    files = nodes.filter("type = 'file'").select("id")
+    pairs = links.select(structural(F.col("source")).alias("source"), structural(F.col("target")).alias("target"), "ord").filter("source != target")
+    return pairs.join(files.withColumnRenamed("id", "source"), "source", "left_semi").join(files.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target", "ord")
+
+
+def affected_in_order(nodes: DataFrame, links: DataFrame, seeds: DataFrame, depth: int = 2, most: int = 30) -> DataFrame:
+    """id, depth and place (from 0) of the files that a queue from the seeds' files (id, start: their order) finds first, at most so many."""
+    files = nodes.filter("type = 'file'").select("id")
+    own = seeds.select(structural(F.col("id")).alias("id"), "start").groupBy("id").agg(F.min("start").alias("start")).join(files, "id", "left_semi")
+    found = discovered(collapsed_links(nodes, links), own.select(F.lit("all").alias("seed_id"), "id", "start"), depth, most)
+    first = found.orderBy("depth", "rank").limit(most)
+    rows = first.agg(F.sort_array(F.collect_list(F.struct("depth", "rank", "id"))).alias("r"))  # at most ``most``
+    return rows.select(F.posexplode("r").alias("place", "r")).select("r.id", "r.depth", "place")
+
+
+def first_paths(edges: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
+    """seed_id, id, distance, rank and path: how a queue from each root first comes to each node over stored edges (source_id, target_id, ord)."""
+    links = edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "ord")
+    found = discovered(links, roots.select(F.col("id").alias("seed_id"), "id", F.lit(0).alias("start")), depth)
+    return found.filter("depth > 0").select("seed_id", "id", F.col("depth").alias("distance"), "rank", "path")
+
+
+def risk_paths(paths: DataFrame, most: int = 10) -> DataFrame:
+    """seed_id, place and path of the first ways of three steps or more, in the order of their discovery."""
+    within = Window.partitionBy("seed_id").orderBy("distance", "rank")
+    return paths.filter("distance >= 3").withColumn("place", F.row_number().over(within)).filter(F.col("place") <= most).select("seed_id", "place", "path")
+
+
+def parent_chain(nodes: DataFrame) -> DataFrame:
+    """id, ancestor and distance of every ancestor that exists, however far, by joins of pairs with pairs. Cycles end where they come back."""
+    pairs = cut(climb.known_parents(nodes).filter("next is not null").select("id", F.col("next").alias("ancestor"), F.lit(1).alias("distance")))
+    reach, front = 1, pairs
+    while not front.isEmpty():
+        # The pairs of the furthest distance go on by all pairs of their ancestor.
+        further = pairs.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("distance").alias("more"))
+        found = front.join(further, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance")).groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
+        added = cut(found.join(pairs.select("id", "ancestor"), ["id", "ancestor"], "left_anti"))
+        pairs, reach = pairs.unionByName(added), 2 * reach
+        front = added.filter(F.col("distance") == reach)
+    return pairs
+
+
 def hierarchy_depth(nodes: DataFrame) -> DataFrame:
     """``nodes`` with depth: the number of their ancestors."""
-    depth = parent_chain(nodes).groupBy("id").agg(F.count(F.lit(1)).alias("depth"))
-    return nodes.join(depth, "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    return nodes.join(climb.depths(nodes), "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
 
 
 def nearest_ancestor(nodes: DataFrame, wanted: Column) -> DataFrame:
     """id and ancestor: the node itself if ``wanted`` holds for it, else the nearest ancestor for which it does; null if there is none."""
-    marked = nodes.select("id", wanted.alias("wanted"))
-    chain = parent_chain(nodes).unionByName(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")))
-    found = chain.join(marked.filter("wanted").select(F.col("id").alias("ancestor")), "ancestor", "left_semi").groupBy("id").agg(F.min_by("ancestor", "distance").alias("ancestor"))
-    return nodes.select("id").join(found, "id", "left")
+    return climb.nearest(nodes, wanted)
 
 
 def rendered_edges(nodes: DataFrame, links: DataFrame, visible: Column) -> DataFrame:

@@ -1,7 +1,7 @@
 """Facts of source files: imports, entities, exports, variables, calls and comments.
 
-Python is read by its own parser; JavaScript and TypeScript by a scan of masked text; the other languages by
-patterns of their declarations, which is an approximation. Any failure gives no facts. Runs as an Arrow function,
+Python is read by its own parser; JavaScript and TypeScript by a walk over their tokens; the other languages by
+patterns of their declarations over text without comments and strings, which is an approximation. Any failure gives no facts. Runs as an Arrow function,
 one file a row.
 """
 
@@ -10,12 +10,15 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvagraph.operators.stats import language_of
+from sylvagraph.parsing.lexer import masked
+from sylvagraph.parsing.scripts import Walk
 
 SCHEMA = "path string, language string, size_exceeded boolean, imports array<struct<path:string,imported_entities:array<string>>>, entities array<struct<type:string,name:string>>, exports array<struct<exported_name:string,local_name:string,is_default:boolean>>, variables array<string>, calls array<string>, comments array<string>, adr string, is_markdown_adr boolean"
 
@@ -40,7 +43,6 @@ PATTERNS = {
     "json": (r"(?!)", r"(?!)", r"(?!)"),
 }
 _ADR = [re.compile(r"(?im)^\s*(?://\s*|#\s*|/\*\s*|\*\s*)@adr\s+(.+)$"), re.compile(r"(?im)^\s*(?://\s*|#\s*|/\*\s*|\*\s*)ADR:\s*(.+)$")]
-_WORD = r"[A-Za-z_$][\w$]*"
 
 
 def distinct(values) -> list:
@@ -74,66 +76,21 @@ def python_facts(text: str) -> dict:
     return {"imports": grouped(imports), "entities": entities, "exports": [], "variables": variables, "calls": calls, "comments": re.findall(r"(?m)#.*$", text)}
 
 
-def _masked(text: str) -> str:
-    """Comments as spaces; strings stay, since imports are strings."""
-    return re.sub(r"""("(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|`(?:\\.|[^`\\])*+`)|//[^\n]*|/\*[\s\S]*?\*/""", lambda m: m[1] or " ", text)
-
-
-def _named(block: str) -> list[tuple[str, str]]:
-    """(name, alias) of a braced list."""
-    found = []
-    for part in block.split(","):
-        words = re.sub(r"^\s*type\s+(?=\w)", "", part).split()
-        if words:
-            found.append((words[0], words[-1]))
-    return found
-
-
-def script_facts(text: str) -> dict:
-    code = _masked(text)
-    plain = re.sub(r"""("(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|`(?:\\.|[^`\\])*+`)""", '""', code)
-    imports, exports, entities, variables = [], [], [], []
-    for m in re.finditer(rf"""\bimport\s+(?:type\s+)?(?:({_WORD})\s*,?\s*)?(?:\*\s*as\s+({_WORD})|\{{([^}}]*)\}})?\s*from\s*['"]([^'"]+)['"]""", code):
-        names = (["default"] if m[1] else []) + (["*"] if m[2] else []) + [n for n, _ in _named(m[3] or "")]
-        variables += [m[1]] if m[1] else []
-        imports.append((m[4], names))
-    imports += [(m[1], []) for m in re.finditer(r"""\bimport\s*['"]([^'"]+)['"]""", code)]
-    for m in re.finditer(rf"""\bexport\s+(?:type\s+)?(?:\*(?:\s*as\s+{_WORD})?|\{{([^}}]*)\}})\s*from\s*['"]([^'"]+)['"]""", code):
-        names = _named(m[1]) if m[1] is not None else []
-        imports.append((m[2], [n for n, _ in names] or ["*"]))
-        exports += [(alias, name, alias == "default") for name, alias in names]
-    for m in re.finditer(r"""\bexport\s+(?:type\s+)?\{([^}]*)\}(?!\s*from)""", code):
-        exports += [(alias, name, alias == "default") for name, alias in _named(m[1])]
-    imports += [(m[1], ["*"]) for m in re.finditer(r"""(?<![\w.])import\s*\(\s*['"]([^'"]+)['"]\s*\)""", code)]
-    imports += [(m[1], []) for m in re.finditer(r"""(?<![\w.])require\s*\(\s*['"]([^'"]+)['"]\s*\)""", code)]
-    for m in re.finditer(rf"\b(export\s+)?(default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(class|interface|enum|function)\s*\*?\s+({_WORD})", plain):
-        entities.append(("function" if m[3] == "function" else "class", m[4]))
-        if m[1]:
-            exports += [(m[4], m[4], bool(m[2]))] + ([("default", m[4], True)] if m[2] else [])
-    for m in re.finditer(rf"\b(export\s+)?type\s+({_WORD})\s*(?:<[^=]*>)?\s*=", plain):
-        entities.append(("class", m[2]))
-        exports += [(m[2], m[2], False)] if m[1] else []
-    for m in re.finditer(rf"\b(export\s+)?(?:const|let|var)\s+({_WORD})\s*(?::[^=;]+)?=\s*((?:async\s*)?(?:function\b|\([^()]*\)\s*(?::[^=;]+)?=>|{_WORD}\s*=>))?", plain):
-        variables.append(m[2])
-        if m[3]:
-            entities.append(("function", m[2]))
-        exports += [(m[2], m[2], False)] if m[1] else []
-    for m in re.finditer(rf"(?m)(?:^\s|[{{;}}])\s*(?:(?:public|private|protected|static|readonly|async|override|get|set)\s+)*({_WORD})\s*\([^()]*\)\s*(?::[^{{;=]+)?\{{", plain):
-        if m[1] not in ("if", "for", "while", "switch", "catch", "function", "return"):
-            entities.append(("function", m[1]))
-    exports += [("default", m[1], True) for m in re.finditer(rf"\bexport\s+default\s+({_WORD})\s*;?\s*$", plain, re.M)]
-    calls = [m[1] for m in re.finditer(rf"({_WORD})\s*\(", plain) if m[1] not in ("if", "for", "while", "switch", "catch", "function", "return")]
+def script_facts(text: str, markup: bool = False) -> dict:
+    walk = Walk(text, markup)
     comments = [c.strip() for c in re.findall(r"//.*|/\*[\s\S]*?\*/", text)]
-    return {"imports": grouped(imports), "entities": entities, "exports": exports, "variables": variables, "calls": calls, "comments": comments}
+    imports = grouped((path.strip(), names) for path, names in walk.imports if path.strip())
+    return {"imports": imports, "entities": walk.entities, "exports": walk.exports, "variables": walk.variables, "calls": walk.calls, "comments": comments}
 
 
 def pattern_facts(text: str, language: str) -> dict:
     imports, classes, functions = PATTERNS[language]
-    found = re.findall(imports, text)
-    entities = [("class", n) for n in re.findall(classes, text)] + [("function", n) for n in re.findall(functions, text)]
+    code, plain = (text, text) if language in ("html", "css", "vue", "yaml", "json") else masked(text, language)
+    found = re.findall(imports, code)
+    entities = [("class", n) for n in re.findall(classes, plain)] + [("function", n) for n in re.findall(functions, plain)]
     names = [re.split(r"[.:]", p)[-1] if language not in ("cpp", "html", "css", "vue", "bash", "ruby", "go", "zig") else None for p in found]
     comments = re.findall(r"(?m)//.*$|/\*[\s\S]*?\*/|^\s*#.*$", text)
-    return {"imports": grouped((p, [n] if n else []) for p, n in zip(found, names, strict=True)), "entities": entities, "exports": [], "variables": [], "calls": re.findall(r"(\w+)\s*\(", text), "comments": comments}
+    return {"imports": grouped((p, [n] if n else []) for p, n in zip(found, names, strict=True)), "entities": entities, "exports": [], "variables": [], "calls": re.findall(r"(\w+)\s*\(", plain), "comments": comments}
 
 
 def facts(path: str, language: str | None, text: str | None, too_large: bool) -> dict:
@@ -148,7 +105,7 @@ def facts(path: str, language: str | None, text: str | None, too_large: bool) ->
                 return out | {"adr": title[1].strip() if title else path.rsplit("/", 1)[-1], "is_markdown_adr": True}
             return out
         adr = next((m[1].strip() for p in _ADR if (m := p.search(text))), None)
-        found = python_facts(text) if language == "python" else script_facts(text) if language in ("javascript", "typescript", "tsx") else pattern_facts(text, language)
+        found = python_facts(text) if language == "python" else script_facts(text, language != "typescript") if language in ("javascript", "typescript", "tsx") else pattern_facts(text, language)
     except (SyntaxError, ValueError, RecursionError, KeyError):
         return out
     return out | {
@@ -158,10 +115,11 @@ def facts(path: str, language: str | None, text: str | None, too_large: bool) ->
     }
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [facts(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("path", "language", "content", "too_large")), strict=True)]
-        yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+        found = pa.RecordBatch.from_pylist(rows, schema=ARROW)
+        yield pa.RecordBatch.from_arrays([*found.columns, *(batch.column(c) for c in keep)], names=[*ARROW.names, *keep])
 
 
 _TEXTS = pa.list_(pa.string())
@@ -173,10 +131,12 @@ ARROW = pa.schema([
 ])
 
 
-def parsed(files: DataFrame, active: list[str] | None = None) -> DataFrame:
-    """The facts of each file (path, length, content). Languages that aren't active, if given, give none."""
+def parsed(files: DataFrame, active: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The facts of each file (path, length, content), and the columns ``keep`` as they are. Languages that aren't active, if given, give none."""
     language: Column = language_of(F.col("path"))
     if active is not None:
         language = F.when(language.isin(active), language)
-    rows = files.select("path", language.alias("language"), "content", (F.col("content").isNull() & (F.col("length") > 0)).alias("too_large"))
-    return rows.mapInArrow(_parsed, SCHEMA)
+    keep = keep or []
+    rows = files.select("path", language.alias("language"), "content", (F.col("content").isNull() & (F.col("length") > 0)).alias("too_large"), *keep)
+    kinds = "".join(f", {c} {files.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(partial(_parsed, keep=keep), SCHEMA + kinds)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from hashlib import md5
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvagraph.functions.paths import dirname, normalized, structural
 from sylvagraph.operators.build import directory_nodes, without_files
 from sylvagraph.schema import LINKS, NODES, CodeGraph
+from sylvagraph.sources import versions
 
 #: Fixed value: the version of snapshots; others aren't read.
 VERSION = "v9"
@@ -21,23 +21,30 @@ def snapshot_path(base: str, root: str) -> str:
 
 
 def save(graph: CodeGraph, files: DataFrame, base: str) -> str:
-    """Writes stats (path, mtime) of files that are nodes and still there, all nodes, and unresolved links. Returns the folder."""
-    path = snapshot_path(base, graph.root)
+    """Writes stats (path, mtime) of files that are nodes and still there, all nodes, and unresolved links, as a new version. Returns its folder.
+
+    What an earlier version wrote stays until ``versions.forget``, so a graph that was loaded from it can be saved again.
+    """
+    spark, path = graph.nodes.sparkSession, snapshot_path(base, graph.root)
+    last = versions.current(spark, path)
+    version = last[0] + 1 if last else 0
+    folder = f"{path}/version={version}"
     known = graph.nodes.filter("type = 'file'").select(F.col("id").alias("path"))
-    files.select("path", "mtime").join(known, "path", "left_semi").write.mode("overwrite").parquet(f"{path}/stats")
-    graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    graph.links.write.mode("overwrite").parquet(f"{path}/links")
-    return path
+    files.select("path", "mtime").join(known, "path", "left_semi").write.mode("overwrite").parquet(f"{folder}/stats")
+    graph.nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
+    graph.links.write.mode("overwrite").parquet(f"{folder}/links")
+    versions.commit(spark, path, version, {"root": graph.root})
+    return folder
 
 
 def load(spark: SparkSession, base: str, root: str) -> tuple[CodeGraph, DataFrame] | None:
-    """The graph as saved and its stats; None without a snapshot of this version."""
+    """The graph as saved last and its stats; None without a snapshot of this kind."""
     path = snapshot_path(base, root)
-    try:
-        nodes, links = (spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in (("nodes", NODES), ("links", LINKS)))
-        return CodeGraph(nodes, links, root), spark.read.schema("path string, mtime timestamp").parquet(f"{path}/stats")
-    except AnalysisException:
+    last = versions.current(spark, path)
+    if last is None:
         return None
+    nodes, links, stats = (spark.read.schema(schema).parquet(f"{path}/version={last[0]}/{name}") for name, schema in (("nodes", NODES), ("links", LINKS), ("stats", "path string, mtime timestamp")))
+    return CodeGraph(nodes, links, root), stats
 
 
 def restored(graph: CodeGraph) -> CodeGraph:

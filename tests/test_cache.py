@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sylvagraph.operators import traverse
 from sylvagraph.schema import LINKS, NODES, CodeGraph
-from sylvagraph.sources import cache
+from sylvagraph.sources import cache, versions
 
 
 def graph(spark, root="/p"):
@@ -29,6 +29,25 @@ def test_snapshot_round_trip(spark, tmp_path):
     assert [r.target for r in cache.without_directory(found, "/p/old").links.collect()] == ["/p/src/b.ts"]
 
 
+def test_a_restored_snapshot_can_be_saved_again(spark, tmp_path):
+    base = str(tmp_path / "cache")
+    files = spark.createDataFrame([("/p/src/a.ts", "2024-01-01"), ("/p/src/b.ts", "2024-01-02")], "path string, mtime string").withColumn("mtime", F.to_timestamp("mtime"))
+    g = cache.restored(graph(spark))
+    first = {tuple(r) for r in g.nodes.select("id", "parent_id", "type").collect()}
+    path = cache.snapshot_path(base, "/p")
+    for turn in range(3):
+        cache.save(g, files, base)
+        g, stats = cache.load(spark, base, "/p")
+        g = cache.restored(g)
+        assert {tuple(r) for r in g.nodes.select("id", "parent_id", "type").collect()} == first and stats.count() == 2
+        assert versions.current(spark, path)[0] == turn
+    # A version without a manifest, as a crash leaves it, isn't read.
+    g.nodes.limit(0).write.parquet(f"{path}/version=3/nodes")
+    assert cache.load(spark, base, "/p")[0].nodes.count() == 5
+    versions.forget(spark, path, keep=1)
+    assert cache.load(spark, base, "/p")[0].nodes.count() == 5 and not (tmp_path / "cache").joinpath(path.split("/")[-1], "version=0").exists()
+
+
 def test_chains_have_no_end_but_their_own(spark):
     chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}" if i < 100 else None) for i in range(101)], "id string, parent_id string")
     depth = {r.id: r.depth for r in traverse.hierarchy_depth(chain).collect()}
