@@ -107,9 +107,13 @@ def analyze_activity_heatmap(commits: DataFrame, since: str | None = None, until
 
 
 def calculate_blast_radius_v2(graph: CodeGraph, node_id: str, max_depth: int = 5) -> dict:
-    root, edges = _one(graph, node_id), stats.graph_edges(graph.nodes, graph.links)
-    found = traverse.with_paths(edges, root, _bounded(max_depth, 1, 20))
-    return _rows(traverse.surroundings_summary(edges, root, max_depth))[0] | {"nodes": _rows(found.orderBy("distance", "id")), "risk_paths": [r["path"] for r in _rows(found.filter("distance >= 3").orderBy("distance", "id").select("path"), 10)]}
+    """Nodes in the order in which a queue finds them, each with the way it was found by; the first ten ways of three steps or more."""
+    root, edges = _one(graph, node_id), stats.ordered_edges(graph.nodes, graph.links)
+    found = traverse.first_paths(edges, root, _bounded(max_depth, 1, 20)).persist()
+    nodes = found.join(graph.nodes.select("id", "label", "type"), "id").orderBy("distance", "rank").select("id", "label", "type", "distance", "path")
+    out = _rows(traverse.surroundings_summary(stats.graph_edges(graph.nodes, graph.links), root, max_depth))[0] | {"nodes": _rows(nodes), "risk_paths": [r["path"] for r in _rows(traverse.risk_paths(found).orderBy("place"))]}
+    found.unpersist()
+    return out
 
 
 def prepare_project_context(graph: CodeGraph, texts: Texts = None, include_security_findings: bool = False, include_classifications: bool = False, limit: int = 10) -> dict:
@@ -167,14 +171,16 @@ def prepare_change_campaign(graph: CodeGraph, user_request: str, candidate_queri
     asked = candidate_queries or _inferred(spark, user_request)["keywords"]
     queries = spark.createDataFrame([(q,) for q in asked], "query string")
     classified = architecture.classify(graph.nodes)
-    seeds = project.campaign_seeds(graph.nodes, classified, queries, seed_node_ids, _bounded(max_seeds, 1, 30)).persist()
-    affected = traverse.affected_files(graph.nodes, graph.links, seeds, depth, _bounded(max_files, 1, 100)).persist()
+    chosen = _rows(project.campaign_seeds(graph.nodes, classified, queries, seed_node_ids, _bounded(max_seeds, 1, 30)))
+    seeds = spark.createDataFrame([(r["id"], i) for i, r in enumerate(chosen)], "id string, place int")
+    matched = project.matched_files(graph.nodes, seeds, queries, max_seeds).persist()
+    affected = traverse.affected_in_order(graph.nodes, graph.links, matched, depth, _bounded(max_files, 1, 100)).persist()
     count = affected.count()
     out = {
-        "seeds": _rows(seeds), "affected_files": _rows(affected.orderBy("depth", "id")), "breadth": project.breadth(count), "waves": _rows(project.execution_waves(affected, classified)),
-        "layers": _rows(project.layers_involved(affected, classified)), "blast": _rows(traverse.blast_radius(graph.nodes, graph.links, seeds, 2).groupBy("seed_id").agg(F.count(F.lit(1)).alias("n"))),
+        "seeds": chosen, "matched_files": [r["id"] for r in _rows(matched.orderBy("start"))], "affected_files": _rows(affected.orderBy("place")), "breadth": project.breadth(count), "waves": _rows(project.execution_waves(affected, classified)),
+        "layers": _rows(project.layers_involved(affected, classified)), "blast": _rows(traverse.blast_summary(graph.nodes, graph.links, matched, depth).select("seed_id", "affected_nodes", "confidence").orderBy("seed_id")),
     }
-    seeds.unpersist()
+    matched.unpersist()
     affected.unpersist()
     return out
 

@@ -72,33 +72,36 @@ class ProjectIndex:
         fresh = cut(parsing.parsed(changed.withColumn("config", content), keep=["mtime", "length", "config"]))
         old = self._read("facts", before)
         removed = cut(gone.select("path").distinct().join(fresh.select("path"), "path", "left_anti").join(old.select("path"), "path", "left_semi"))
-        counts |= {"parsed": fresh.count(), "removed": removed.count()}
+        touched = _union(fresh.select("path"), removed)
+        is_config = F.col("path").endswith(".json")
+        of_fresh = fresh.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or(is_config), F.lit(False)).alias("configs"), F.coalesce(F.bool_or("is_markdown_adr"), F.lit(False)).alias("records")).first()
+        of_old = old.join(touched, "path", "left_semi").agg(F.count_if("is_markdown_adr").alias("records")).first()
+        of_gone = removed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or(is_config), F.lit(False)).alias("configs")).first()
+        counts |= {"parsed": of_fresh.n, "removed": of_gone.n}
         if not counts["parsed"] and not counts["removed"]:
             if batch is not None:
                 self._commit({**before, "version": before["version"] + 1, "batch": batch}, None)
             return counts
-        after = {**before, "version": before["version"] + 1, "batch": before["batch"] if batch is None else batch}
-        touched = _union(fresh.select("path"), removed)
+        configured = before.get("configured", False) or of_fresh.configs
+        after = {**before, "version": before["version"] + 1, "batch": before["batch"] if batch is None else batch, "configured": configured}
         self._put("facts", before, after, fresh, touched)
         now = self._read("facts", after)
         code = now.filter(~F.col("path").endswith("/"))
 
         # Imports: all of them where a configuration was touched, else those of changed files; answers where a candidate was touched, too.
-        scripts = code.filter(F.col("language").isin(SCRIPTS))
+        scripts = code if of_fresh.configs or of_gone.configs else fresh.drop("mtime", "length", "config")
+        scripts = scripts.filter(F.col("language").isin(SCRIPTS))
         stale = scripts.select("path")
-        if touched.filter(F.col("path").endswith(".json")).isEmpty():
-            stale = stale.join(touched, "path", "left_semi")
-        stale = cut(stale)
-        imports = scripts.join(stale, "path", "left_semi").select("path", F.explode("imports").alias("i")).select("path", F.col("i.path").alias("specifier"))
-        configs = modules.configurations(now.filter("config is not null").select("path", F.col("config").alias("content")))
+        imports = scripts.select("path", F.explode("imports").alias("i")).select("path", F.col("i.path").alias("specifier"))
+        written = now.filter("config is not null").select("path", F.col("config").alias("content"))
+        configs = modules.configurations(written) if configured else self.spark.createDataFrame([], modules.CONFIGURATIONS)
         self._put("tried", before, after, modules.tried_modules(imports, configs, self.root), _union(stale, touched))
         tried = self._read("tried", after)
         asking = tried.join(touched.select(F.col("path").alias("candidate")), "candidate", "left_semi").select("path")
 
         # Links of these files, and of annotated ones where a decision record was touched.
         dirty = _union(fresh.select("path"), stale, asking)
-        records = _union(fresh.select("path", "is_markdown_adr"), old.join(touched, "path", "left_semi").select("path", "is_markdown_adr")).filter("is_markdown_adr")
-        if not records.isEmpty():
+        if of_fresh.records or of_old.records:
             dirty = dirty.unionByName(code.filter("adr is not null").select("path"))
         dirty = cut(dirty.distinct())
         some = code.join(dirty, "path", "left_semi")
@@ -158,6 +161,9 @@ class ProjectIndex:
         (empty if changes is None else changes.select(*empty.columns)).write.mode("overwrite").parquet(path)
         versions.commit(self.spark, self.base, state["version"], state)
 
+    def changes_of(self, version: int) -> DataFrame:
+        return self.spark.read.schema(CHANGES).parquet(f"{self.base}/changes/at={version}")
+
     def fetch(self, reader: str) -> tuple[CodeGraph | None, DataFrame]:
         """What changed since ``reader`` last asked, and from now on counts as read by it. A new reader gets the whole graph and no changes.
 
@@ -184,5 +190,5 @@ def analyze(spark: SparkSession, root: str, base: str, churn: DataFrame | None =
     if files.isEmpty():
         raise ValueError(f"no source files under {root}")
     index = ProjectIndex(spark, base, root)
-    return_of = index.update(files)
-    return index.graph(churn), return_of
+    done = index.update(files)
+    return index.graph(churn), done

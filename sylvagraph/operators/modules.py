@@ -19,6 +19,7 @@ ENDINGS = ["", ".ts", ".tsx", ".d.ts", ".js", ".jsx"]
 #: What a written ending may stand for.
 STANDS_FOR = {".js": [".ts", ".tsx", ".d.ts"], ".jsx": [".tsx", ".ts", ".d.ts"], ".mjs": [".mts", ".d.mts"], ".cjs": [".cts", ".d.cts"]}
 OPTIONS = "extends string, compilerOptions struct<baseUrl: string, paths: map<string, array<string>>>"
+CONFIGURATIONS = "config string, folder string, base string, aliases_from string, aliases array<struct<pattern: string, targets: array<string>>>"
 #: Later ways to a file are this far behind earlier ones.
 STEP = 1000
 

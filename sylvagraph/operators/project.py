@@ -75,6 +75,16 @@ def campaign_seeds(nodes: DataFrame, classified: DataFrame, queries: DataFrame,
     return chosen.orderBy(*order).limit(most).select("id", "label", "type")
 
 
+def matched_files(nodes: DataFrame, seeds: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """id and start (their order) of the files that a campaign sets out from: those of the seeds (id, place), else the first in store order that a query fits."""
+    files = nodes.filter("type = 'file'")
+    own = seeds.select(structural(F.col("id")).alias("id"), "place").groupBy("id").agg(F.min("place").cast("bigint").alias("start")).join(files.select("id"), "id", "left_semi")
+    fitting = search.best_scores(files, queries, "campaign").filter("score > 0").select("id").join(files.select("id", F.col("ord").alias("start")), "id").orderBy("start", "id").limit(most)
+    none = own.agg(F.count(F.lit(1)).alias("some"))
+    other = fitting.withColumn("some", none.scalar()).filter("some = 0").drop("some")
+    return own.orderBy("start").limit(most).unionByName(other)
+
+
 def wave(layer: Column) -> Column:
     found = F.lit("wave-core")
     for name, layers in WAVES.items():

@@ -78,6 +78,13 @@ def graph_edges(nodes: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def ordered_edges(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """source_id, target_id and ord of links whose two ends exist: their place in store order decides what a search finds first."""
+    ids = nodes.select("id")
+    both = links.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return both.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), "ord")
+
+
 def neighbors(nodes: DataFrame, edges: DataFrame, of: DataFrame, edge_kind: str | None = None) -> DataFrame:
     """origin, id, type, label and edge_type of all nodes one edge away from each id of ``of``, either way, without repeats."""
     some = edges if edge_kind is None else edges.filter(F.col("type") == edge_kind)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvagraph.operators import activity, architecture, health, project, requests, search, security, stats, traverse
-from sylvagraph.operators.resolve import unresolved_links
+from sylvagraph.lineage import shared_folder
+from sylvagraph.operators import activity, architecture, climb, health, project, requests, search, security, stats, traverse
+from sylvagraph.operators.holding import first_holding
+from sylvagraph.operators.index import ProjectIndex
+from sylvagraph.operators.resolve import reresolved, touched_links, unresolved_links, waiting, with_found
+from sylvagraph.parsing.facts import parsed
 from sylvagraph.plans import oracle as o
 from sylvagraph.functions import texts
 from sylvagraph.schema import CodeGraph
@@ -716,3 +721,116 @@ def _(g):
     from sylvagraph.sinks.export import dot_lines
 
     return dot_lines(g.nodes, stats.graph_edges(g.nodes, g.links))
+
+
+# Index and link resolution from one version to the next.
+@query("incremental_link_resolution", o.sql("SELECT source, target, CAST(value AS INTEGER) AS value, type FROM links"))
+def _(spark, sf_dir):
+    """Two batches of files: links resolved against the first are resolved again only where they wait for files of the second."""
+    raw = adapter.raw_graph(spark, sf_dir)
+    links, waits = raw.links, waiting(raw.links)
+    late = F.crc32(F.substring_index("id", "#", 1).cast("binary")) % 4 == 0
+    first = with_found(raw.nodes.filter(~late), links)
+    again = touched_links(waits, raw.nodes.filter(late).select(F.substring_index("id", "#", 1).alias("key")))
+    return reresolved(first, again, raw.nodes).select("source", F.col("found").alias("target"), "value", "type")
+
+
+_TEXTS = "sources AS (SELECT id, partkey FROM fx_files WHERE type = 'file' AND ext IN ('.ts', '.tsx'))"
+
+
+@query(
+    "incremental_index",
+    o.sql(
+        """SELECT id, type FROM fx_files WHERE type = 'file' AND partkey % 7 <> 0
+UNION ALL SELECT s.id, s.type FROM fx_symbols s JOIN sources f ON f.id = s.parent_id WHERE s.partkey % 7 <> 0
+UNION ALL SELECT id || '#value', 'function' FROM sources WHERE partkey % 7 <> 0 AND (partkey % 3 = 0 OR partkey % 10 = 3)""",
+        _TEXTS,
+        base=[o.FILES, o.SYMBOLS],
+    ),
+)
+def _(spark, sf_dir):
+    """Nodes after a version in which files come, change and go; only the new texts of those are parsed."""
+    texts, project_index = adapter.code_texts(spark, sf_dir), ProjectIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", adapter.ROOT)
+    as_files = lambda df, text: df.select("path", F.timestamp_seconds(F.lit(0)).alias("mtime"), F.length(text).cast("bigint").alias("length"), F.col(text).alias("content"))
+    new = F.col("partkey") % 10 == 3
+    project_index.apply(as_files(texts.filter(~new), "declared"), spark.createDataFrame([], "path string"))
+    changed, gone = texts.filter(new | (F.col("partkey") % 3 == 0)), texts.filter("partkey % 7 = 0").select("path")
+    project_index.apply(as_files(changed.filter("partkey % 7 != 0"), "content"), gone)
+    return project_index.graph().nodes.filter("type != 'directory'").select("id", "type")
+
+
+@query(
+    "parsed_facts",
+    o.sql(
+        """SELECT parent_id AS path, type AS kind, label AS name FROM fx_symbols WHERE parent_id IN (SELECT id FROM sources)
+UNION ALL SELECT parent_id, 'export', label FROM fx_symbols WHERE parent_id IN (SELECT id FROM sources)
+UNION ALL SELECT id, kind, name FROM sources, (VALUES (1, 'function', 'value'), (1, 'variable', 'value'), (71, 'variable', 'password'), (97, 'call', 'eval'), (89, 'call', 'getItem'), (83, 'call', 'execSync'), (73, 'call', 'log')) r(m, kind, name) WHERE partkey % m = 0
+UNION ALL SELECT id, 'call', 'fetch' FROM sources WHERE partkey % 67 = 0 OR partkey % 61 = 0
+UNION ALL SELECT id, 'comment', '// eval(x) localStorage.a execSync(c)' FROM sources WHERE partkey % 79 = 0
+UNION ALL SELECT id, 'comment', '//' || host || '/x'');' FROM sources, (VALUES (67, 'example.org'), (61, 'localhost')) r(m, host) WHERE partkey % m = 0""",
+        _TEXTS,
+        base=[o.FILES, o.SYMBOLS],
+    ),
+)
+def _(spark, sf_dir):
+    """path, kind and name of all facts of the invented sources."""
+    facts = parsed(adapter.code_texts(spark, sf_dir).withColumn("length", F.length("content").cast("bigint")))
+    named = lambda kind, names: F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+    entities = F.transform("entities", lambda e: F.struct(e["type"].alias("kind"), e["name"].alias("name")))
+    exports = named("export", F.transform("exports", lambda e: e["exported_name"]))
+    each = F.concat(entities, exports, *(named(k, F.col(c)) for k, c in (("variable", "variables"), ("call", "calls"), ("comment", "comments"))))
+    return facts.select("path", F.inline(each))
+
+
+# Climbing, discovery in order, substrings, patterns.
+@on_nodes("owning_file", o.sql("SELECT id, CASE WHEN type IN ('file', 'adr') THEN id WHEN type <> 'directory' THEN parent_id END AS owner FROM nodes", base=FILES_ONLY))
+def _(g):
+    return climb.owners(g.nodes.select("id"), g.nodes)
+
+
+_PLACES = """places AS MATERIALIZED (
+    SELECT a, b, min({{'incoming': incoming, 'ord': ord, 'b': b}}) AS place
+    FROM (SELECT s AS a, t AS b, 0 AS incoming, ord FROM {pairs} UNION ALL SELECT t, s, 1, ord FROM {pairs}) WHERE a <> b GROUP BY a, b)"""
+_QUEUE = """walks AS (
+    SELECT id, 0 AS depth, CAST([] AS STRUCT(incoming INTEGER, ord BIGINT, b VARCHAR)[]) AS rank, [id] AS path FROM root
+    UNION ALL SELECT b, depth + 1, list_append(rank, place), list_append(path, b) FROM walks JOIN places ON places.a = walks.id WHERE depth < {depth} AND NOT list_contains(path, b)
+), found AS (SELECT id, depth, min(rank) AS rank, arg_min(path, rank) AS path FROM walks GROUP BY id, depth QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth) = 1)"""
+_ORDERED = "ordered AS MATERIALIZED (SELECT split_part(source, '#', 1) AS s, split_part(target, '#', 1) AS t, ord FROM links WHERE split_part(source, '#', 1) IN (SELECT id FROM nodes WHERE type = 'file') AND split_part(target, '#', 1) IN (SELECT id FROM nodes WHERE type = 'file'))"
+
+
+@on_graph("affected_files_in_order", o.sql("SELECT id, depth, CAST(row_number() OVER (ORDER BY depth, rank) - 1 AS INTEGER) AS place FROM found ORDER BY depth, rank LIMIT 30", o.DEGREES, _ORDERED, _PLACES.format(pairs="ordered"), _QUEUE.format(depth=2)))
+def _(g):
+    return traverse.affected_in_order(g.nodes, g.links, stats.top_target(g.nodes, g.links).withColumn("start", F.lit(0)))
+
+
+_EDGES_IN_ORDER = "ordered AS MATERIALIZED (SELECT source AS s, target AS t, ord FROM links WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes))"
+
+
+@on_graph("blast_radius_v2_first_paths", o.sql("SELECT id, depth AS distance, array_to_string(path, ' > ') AS path FROM found WHERE depth > 0", o.DEGREES, _EDGES_IN_ORDER, _PLACES.format(pairs="ordered"), _QUEUE.format(depth=2)))
+def _(g):
+    found = traverse.first_paths(stats.ordered_edges(g.nodes, g.links), stats.top_target(g.nodes, g.links), 2)
+    return found.select("id", "distance", F.array_join("path", " > ").alias("path"))
+
+
+@query(
+    "first_record_holding",
+    o.sql("SELECT needle, arg_min(f.id, f.ord) AS id FROM (SELECT DISTINCT regexp_replace(label, '\\.[^.]+$', '') AS needle FROM fx_files UNION SELECT DISTINCT lower(replace(brand, '#', '_')) FROM fx_files) n JOIN fx_files f ON f.type = 'adr' AND contains(lower(f.id), needle) GROUP BY needle", base=[o.FILES]),
+)
+def _(spark, sf_dir):
+    """Names of all files and brands as annotations, each with the first decision record whose id holds it."""
+    found = adapter.files(spark, sf_dir)
+    needles = found.select(F.regexp_replace("label", r"\.[^.]+$", "").alias("needle")).unionByName(found.select(F.lower(F.replace("brand", F.lit("#"), F.lit("_"))).alias("needle")))
+    return first_holding(needles, found.filter("type = 'adr'").select("ord", "id", F.lower("id").alias("text")))
+
+
+@query(
+    "signature_search_regex",
+    o.sql(
+        "SELECT file_id AS node_id, symbol_id, CAST(line_no AS BIGINT) AS line FROM (SELECT c.*, f.ord AS file_ord, (SELECT arg_min(s.id, s.ord) FROM fx_symbols s WHERE s.parent_id = c.file_id AND contains(c.line, s.label)) AS symbol_id FROM code c JOIN fx_files f ON f.id = c.file_id WHERE regexp_matches(line, '\\b(class|function) sym_[0-9]*7\\b')) ORDER BY file_ord, line_no LIMIT 100",
+        _CODE,
+        base=[o.FILES, o.SYMBOLS],
+    ),
+)
+def _(spark, sf_dir):
+    g = adapter.raw_graph(spark, sf_dir)
+    return search.signatures(g.nodes, adapter.code_lines(spark, sf_dir), r"\b(class|function) sym_[0-9]*7\b", limit=100, case_sensitive=True, regex=True).select("node_id", "symbol_id", "line")

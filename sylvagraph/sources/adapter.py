@@ -129,3 +129,11 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.filter(F.array(*(F.struct(F.lit(base + i).cast("bigint").alias("line_no"), F.when(test, F.lit(line)).alias("line")) for i, (test, line) in enumerate(extra))), lambda r: r.line.isNotNull())
     added = found.filter("type = 'file'").select(F.col("id").alias("file_id"), F.inline(rows))
     return declared.unionByName(added)
+
+
+def code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, partkey, declared and content of the invented sources: the declarations alone, and the whole text."""
+    lines = code_lines(spark, sf_dir).withColumn("line", F.concat("line", F.when(F.col("line").endswith("{"), "}").otherwise("")))
+    text = lambda some: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(some, F.struct("line_no", "line")))), lambda r: r.line), "\n")
+    texts = lines.groupBy(F.col("file_id").alias("path")).agg(text(F.col("line_no") < 10_000_000).alias("declared"), text(F.lit(True)).alias("content"))
+    return files(spark, sf_dir).filter("type = 'file'").select(F.col("id").alias("path"), "partkey").join(texts, "path")

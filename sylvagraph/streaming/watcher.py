@@ -1,7 +1,6 @@
-"""File events as a stream: each batch becomes a new version of the files' table, from which the graph follows.
+"""File events as a stream: each batch becomes a new version of the project's index, from which the graph follows.
 
-Events (seq, op, path, ts, content) are rows of an event table, since a file source shows neither changes nor deletions. A
-version is a folder of Parquet; a batch that is replayed writes the same version again. A folder that was added is a row whose path ends in a
+Events (seq, op, path, ts, content) are rows of an event table, since a file source shows neither changes nor deletions. A folder that was added is a row whose path ends in a
 slash. Folders without such a row are there as long as a file is in them. Give ``watch`` a ``processingTime`` to gather bursts of events.
 """
 
@@ -9,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sylvagraph.lineage import cut
 from sylvagraph.operators.build import raw_graph, script_modules
-from sylvagraph.operators.project import version_diff
+from sylvagraph.operators.index import ProjectIndex
 from sylvagraph.operators.resolve import resolve_links
 from sylvagraph.parsing.facts import parsed
 from sylvagraph.schema import CodeGraph
@@ -25,15 +24,6 @@ GONE = ["unlink", "unlinkDir"]
 FILES = "path string, mtime timestamp, length bigint, content string"
 
 
-def version_path(base: str, version: int) -> str:
-    return f"{base}/version={version}"
-
-
-def files_at(spark: SparkSession, base: str, version: int) -> DataFrame:
-    """The files after a batch; none before the first."""
-    return spark.createDataFrame([], FILES) if version < 0 else spark.read.schema(FILES).parquet(version_path(base, version))
-
-
 def applied(files: DataFrame, events: DataFrame) -> DataFrame:
     """``files`` after the last event of each path. Additions and changes in ignored folders don't count; deletions always do."""
     last = Window.partitionBy("path").orderBy(F.desc("seq"))
@@ -53,16 +43,29 @@ def graph_of(files: DataFrame, root: str) -> CodeGraph:
     return CodeGraph(raw.nodes, resolve_links(raw.nodes, raw.links), root)
 
 
-def watch(events: DataFrame, base: str, checkpoint: str, root: str, publish: Callable[[CodeGraph, DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
-    """Starts a query over streamed events. ``publish`` gets each new graph, the changes of its nodes and the version."""
-    spark = events.sparkSession
+def latest(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files (FILES) that a batch's last event of each path leaves there, and the paths (path) that it takes away; folders end in a slash."""
+    none = events.sparkSession.createDataFrame([], FILES)
+    gone = events.filter(F.col("op").isin(GONE)).select(F.when(F.col("op") == "unlinkDir", F.concat("path", F.lit("/"))).otherwise(F.col("path")).alias("path")).distinct()
+    there = applied(none, events)
+    return there, gone.join(there, "path", "left_anti")
+
 
-    def batch(rows: DataFrame, version: int) -> None:
-        before = files_at(spark, base, version - 1)
-        applied(before, rows).write.mode("overwrite").parquet(version_path(base, version))
+def watch(events: DataFrame, base: str, checkpoint: str, root: str, publish: Callable[[CodeGraph, DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
+    """Starts a query over streamed events that keeps a project's index (``operators/index.py``) in ``base``. Only files of a batch are parsed, only links that wait for them resolved again.
+
+    ``publish`` gets the new graph, the batch's changes (kind, op, id, target, type) and its number. A batch that comes again changes nothing, but is published again.
+    """
+    index = ProjectIndex(events.sparkSession, base, root)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.persist()
+        try:
+            index.apply(*latest(rows), batch=number)
+        finally:
+            rows.unpersist()
         if publish is not None:
-            old, new = graph_of(before, root), graph_of(files_at(spark, base, version), root)
-            publish(new, version_diff(old.nodes, new.nodes, ["id"]), version)
+            publish(index.graph(), index.changes_of(index.state()["version"]), number)
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
