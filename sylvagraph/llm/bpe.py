@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvagraph.llm.common import arrow_map, text_bytes
+from sylvagraph.llm.common import arrow_map, quoted, text_bytes
 
 LEAF_CHARS = 4096
 ROWS_OUT = 512
@@ -97,7 +97,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
         ids = [np.array(of.encode(x.decode("utf-8", "replace")), dtype="<u4").tobytes() for x in text_bytes(batch.column(text_col))]
         yield from _added(batch, keep, ids_col, ids)
 
-    return arrow_map(df.select(*dict.fromkeys([*keep, text_col])), run, _with_binary(df, keep, ids_col))
+    return arrow_map(df.select(*quoted([*keep, text_col])), run, _with_binary(df, keep, ids_col))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids", bytes_col: str = "decoded", keep: list[str] | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -109,7 +109,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_i
         out = [of.decode(np.frombuffer(x or b"", dtype="<u4")) for x in batch.column(ids_col).to_pylist()]
         yield from _added(batch, keep, bytes_col, out)
 
-    return arrow_map(df.select(*dict.fromkeys([*keep, ids_col])), run, _with_binary(df, keep, bytes_col))
+    return arrow_map(df.select(*quoted([*keep, ids_col])), run, _with_binary(df, keep, bytes_col))
 
 
 def unpacked(ids_col: str = "token_ids") -> Column:

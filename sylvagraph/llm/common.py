@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What ``[^\x20\x09-\x0D]+`` separates words by; bytes.split() without arguments splits by the same six bytes.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -59,7 +60,14 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow for columns of any name: it would take a dot in one for a field."""
+    names = df.columns
+    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
+    return plain.mapInArrow(lambda batches: fn(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches), schema)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +75,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
             if batch.num_rows:
                 yield from fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -78,6 +86,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns by their whole names, whatever dots and quotes these have; repeats once."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in dict.fromkeys(names)]
+
+
 def crc32_of_id(column: str | Column) -> Column:
     """crc32 of an id written as decimal text."""
     return F.crc32((F.col(column) if isinstance(column, str) else column).cast("string").cast("binary"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvagraph.llm.common import free_name, stored
+from sylvagraph.llm.common import free_name, mapped, quoted, stored
 from sylvagraph.llm.urlfilter import host_of
 
 # Kinds of elements.
@@ -264,16 +264,16 @@ BROADCAST_ROWS = 100_000
 
 def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.4) -> DataFrame:
     """The columns ``keep`` (default: all but the html) and the main text of each page."""
-    keep = [c for c in (df.columns if keep is None else keep) if c not in (html_col, text_col)]
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in (html_col.lower(), text_col.lower())]
     host, low = free_name(df, "host"), free_name(df, "low_paths")
     pages = df.withColumn(host, host_of(F.col(url_col)))
     nodes = importance(pages.select(F.col(host).alias("host"), F.col(html_col).alias("html")))
     found = stored(nodes.filter(F.col("importance") < threshold).select(F.col("host").alias(host), "path"))
     of_host = stored(found.groupBy(host).agg(F.collect_set("path").alias(low)))
     small = found.count() <= BROADCAST_ROWS
-    joined = pages.join(F.broadcast(of_host) if small else of_host, host, "left").select(*keep, F.col(html_col).alias(html_col), low)
+    joined = pages.join(F.broadcast(of_host) if small else of_host, host, "left").select(*quoted(keep), F.col(html_col).alias(html_col), low)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(text_col, T.StringType())])
-    return joined.mapInArrow(partial(_texts, keep=keep, html_col=html_col, low=low, text_col=text_col), schema)
+    return mapped(joined, partial(_texts, keep=keep, html_col=html_col, low=low, text_col=text_col), schema)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], keep: list[str], html_col: str, low: str, text_col: str) -> Iterator[pa.RecordBatch]:

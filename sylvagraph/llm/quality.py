@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvagraph.llm.common import arrow_map, crc32_of_id, free_name, stored, text_bytes
+from sylvagraph.llm.common import arrow_map, crc32_of_id, free_name, mapped, quoted, stored, text_bytes
 
 STATISTICS = ("log bytes", "log words", "bytes a word", "log upper", "log digits", "log punctuation", "log symbols", "distinct words", "log bytes a line", "bars a word", "short words")
 SHRINKAGE = 0.2
@@ -65,7 +65,7 @@ def statistics(df: DataFrame, keep: list[str], text_col: str = "text", name: str
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], names=[*keep, name])
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, T.ArrayType(T.DoubleType()))])
-    return arrow_map(df.select(*dict.fromkeys([*keep, text_col])), run, schema)
+    return arrow_map(df.select(*quoted([*keep, text_col])), run, schema)
 
 
 @dataclass
@@ -125,7 +125,7 @@ def _cut(x: np.ndarray | list[float]) -> np.ndarray:
 def scored(stats: DataFrame, model: Discriminant | float, keep: list[str], name: str = "statistics", score: str = "score") -> DataFrame:
     """``keep`` and the score."""
     schema = T.StructType([*(stats.schema[c] for c in keep), T.StructField(score, T.DoubleType())])
-    return stats.select(*keep, name).mapInArrow(partial(_scored, model=model, keep=keep, name=name, score=score), schema)
+    return mapped(stats.select(*quoted([*keep, name])), partial(_scored, model=model, keep=keep, name=name, score=score), schema)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Discriminant | float, keep: list[str], name: str, score: str) -> Iterator[pa.RecordBatch]:
@@ -155,4 +155,4 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if isinstance(model, float):
         return docs
     found = scored(statistics(docs, docs.columns, text_col, name), model, docs.columns, name, score)
-    return found.filter(F.col(score) >= threshold).select(*docs.columns)
+    return found.filter(F.col(score) >= threshold).select(*quoted(docs.columns))

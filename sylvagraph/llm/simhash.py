@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylvagraph.llm import jaccard
-from sylvagraph.llm.common import arrow_map, free_name, majority_bits, shingle_hashes, stored, text_bytes
+from sylvagraph.llm.common import arrow_map, free_name, majority_bits, quoted, shingle_hashes, stored, text_bytes
 from sylvagraph.llm.components import connected_components
 
 BITS = 64
@@ -53,7 +53,7 @@ def fingerprints(df: DataFrame, keep: list[str], text_col: str = "text", shingle
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(bits.view(np.int64))], names=[*keep, name])
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(name, T.LongType())])
-    return arrow_map(df.select(*dict.fromkeys([*keep, text_col])), run, schema)
+    return arrow_map(df.select(*quoted([*keep, text_col])), run, schema)
 
 
 def segments_of(radius: int, count: int) -> list[tuple[int, int, int]]:
@@ -158,4 +158,4 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = connected_components(jaccard.links(nodes, texts, candidates, similarity, shingle_words, seed))
     groups = nodes.select("node", "best").join(roots.hint("merge"), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     keep = stored(groups.select(F.col("best.row").alias(row)))
-    return keyed.join(keep, row, "left_semi").dropDuplicates([row]).select(*df.columns)
+    return keyed.join(keep, row, "left_semi").dropDuplicates([row]).select(*quoted(df.columns))
