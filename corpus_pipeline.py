@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylvagraph.llm import bpe, mixing, quality, simhash
-from sylvagraph.llm.common import shared_dir
+from sylvagraph.llm.common import free_name, quoted, shared_dir
 from sylvagraph.sources.tables import read_table
 
 
@@ -32,15 +32,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mixed(docs)
 
 
-def positioned(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``position``: the rows of all files before (``part-NNNNN`` by NNNNN), then the row's index in its file."""
-    name = F.col("_metadata.file_name")
-    part = F.struct(F.regexp_extract(name, r"^part-(\d+)", 1).cast("bigint").alias("part"), name.alias("name"))
-    rows = docs.select("*", part.alias("mix_file"), F.col("_metadata.row_index").alias("mix_index"))
+def positioned(docs: DataFrame, name: str = "position") -> DataFrame:
+    """``docs`` with ``name``: the rows of all files before (``part-NNNNN`` by NNNNN), then the row's index in its file. No column's name is in its way."""
+    file, index, base, number = (free_name(docs, f"mix_{c}") for c in ("file", "index", "base", "number"))
+    path = F.col("_metadata.file_name")
+    part = F.struct(F.regexp_extract(path, r"^part-(\d+)", 1).cast("bigint").alias("part"), path.alias("name"))
+    rows = docs.select(*quoted(docs.columns), part.alias(file), F.col("_metadata.row_index").alias(index))
     # One row a file.
-    before = Window.orderBy("mix_file").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("mix_file").agg(F.count(F.lit(1)).alias("n")).select("mix_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_base"))
-    return rows.join(F.broadcast(files), "mix_file").select(*docs.columns, (F.col("mix_base") + F.col("mix_index")).alias("position"))
+    before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy(file).agg(F.count(F.lit(1)).alias(number)).select(file, F.coalesce(F.sum(number).over(before), F.lit(0)).alias(base))
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    return rows.join(F.broadcast(files), file).select(*quoted(kept), (F.col(base) + F.col(index)).alias(name))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
