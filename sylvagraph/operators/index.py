@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sylvagraph.functions.paths import ancestors
 from sylvagraph.lineage import cut
 from sylvagraph.operators import build, modules
+from sylvagraph.operators.progress import Report, in_steps, reported
 from sylvagraph.operators.resolve import LINK, touched_links, waiting, with_found
 from sylvagraph.parsing import facts as parsing
 from sylvagraph.schema import CodeGraph
@@ -54,22 +55,25 @@ class ProjectIndex:
     def _put(self, name: str, state: dict, after: dict, rows: DataFrame, keys: DataFrame) -> None:
         after[name] = self.tables[name].write(after["version"], state[name], rows, keys)
 
-    def update(self, files: DataFrame) -> dict:
+    def update(self, files: DataFrame, report: Report | None = None) -> dict:
         """Brings the index in line with all files (path, mtime, length, content) that are there now."""
         known = self._read("facts", self.state()).select("path", "mtime")
-        return self.apply(to_parse(files, known), deleted(files, known))
+        return self.apply(to_parse(files, known), deleted(files, known), report=report)
 
-    def apply(self, changed: DataFrame, gone: DataFrame, batch: int | None = None) -> dict:
+    def apply(self, changed: DataFrame, gone: DataFrame, batch: int | None = None, report: Report | None = None) -> dict:
         """A new version: ``changed`` files (path, mtime, length, content; folders end in a slash) take the place of their former selves, ``gone`` (path) are left out.
 
-        Returns how many files were parsed and removed and how many links were resolved. A ``batch`` that is in the index already changes nothing.
+        Returns how many files were parsed and removed and how many links were resolved. A ``batch`` that is in the index already changes nothing. ``report`` hears how parsing goes on.
         """
         before = self.state()
         counts = {"version": before["version"], "parsed": 0, "removed": 0, "resolved": 0}
         if batch is not None and batch <= before["batch"]:
             return counts
         content = F.when(F.col("path").endswith(".json"), F.col("content"))
-        fresh = cut(parsing.parsed(changed.withColumn("config", content), keep=["mtime", "length", "config"]))
+        total = changed.select("path").count() if report else 0
+        dealt, parts = in_steps(changed, total) if report else (changed, 0)
+        with reported(changed, total, parts, report):
+            fresh = cut(parsing.parsed(dealt.withColumn("config", content), keep=["mtime", "length", "config"]))
         old = self._read("facts", before)
         removed = cut(gone.select("path").distinct().join(fresh.select("path"), "path", "left_anti").join(old.select("path"), "path", "left_semi"))
         touched = _union(fresh.select("path"), removed)
@@ -182,7 +186,7 @@ class ProjectIndex:
         return None, self.spark.read.schema(CHANGES).parquet(*paths) if paths else empty
 
 
-def analyze(spark: SparkSession, root: str, base: str, churn: DataFrame | None = None) -> tuple[CodeGraph, dict]:
+def analyze(spark: SparkSession, root: str, base: str, churn: DataFrame | None = None, report: Report | None = None) -> tuple[CodeGraph, dict]:
     """The graph of a project, of which only files that changed since the last analysis into ``base`` are parsed, and what was done."""
     from sylvagraph.sources.files import discover
 
@@ -190,5 +194,5 @@ def analyze(spark: SparkSession, root: str, base: str, churn: DataFrame | None =
     if files.isEmpty():
         raise ValueError(f"no source files under {root}")
     index = ProjectIndex(spark, base, root)
-    done = index.update(files)
+    done = index.update(files, report)
     return index.graph(churn), done

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylvagraph.lineage import cut
-from sylvagraph.operators import build, index
+from sylvagraph.operators import build, index, progress
 from sylvagraph.operators.resolve import reresolved, resolve_links, touched_links, waiting, with_found
 from sylvagraph.parsing.facts import parsed
 from sylvagraph.sources.versions import DeltaTable
@@ -112,13 +112,32 @@ def test_a_second_analysis_parses_only_what_changed(spark, tmp_path):
     (root / "src/b.ts").unlink()
     (root / "src/b").mkdir()
     (root / "src/b/index.ts").write_text("const q = 1; export { q as b }")
-    graph, done = index.analyze(spark, str(root), base)
-    assert (done["parsed"], done["removed"]) == (1, 1)
+    heard = []
+    graph, done = index.analyze(spark, str(root), base, report=lambda *said: heard.append(said))
+    assert (done["parsed"], done["removed"]) == (1, 1) and heard == [("indexing_files", 0, 1), ("indexing_complete", 1, 1)]
     plain = build.analyze(spark, str(root))
     key = lambda df: sorted(map(str, df.collect()))
     assert key(graph.nodes.select(*plain.nodes.columns)) == key(plain.nodes) and key(graph.links.select(*plain.links.columns)) == key(plain.links)
 
 
+def test_progress_is_reported_while_files_are_parsed(spark):
+    heard = []
+    files = spark.range(95).selectExpr("concat('/p/', id) as path")
+    dealt, parts = progress.in_steps(files, 95)
+
+    def slow(batches):
+        import time
+
+        for batch in batches:
+            time.sleep(0.5)
+            yield batch
+
+    with progress.reported(files, 95, parts, lambda *said: heard.append(said), wait=0.05):
+        assert dealt.mapInArrow(slow, "path string").count() == 95
+    assert parts == 10 and heard[0] == ("indexing_files", 0, 95) and heard[-1] == ("indexing_complete", 95, 95) and len(heard) > 2
+    assert [c for _, c, _ in heard] == sorted(c for _, c, _ in heard) and progress.in_steps(files, 10**7)[1] == progress.MOST_PARTITIONS
+
+
 def test_only_waiting_links_are_resolved_again(spark):
     node = lambda i: (i, None)
     nodes = [node(x) for x in ("/p/a.ts", "/p/a.ts#f", "/p/b/index.js", "/p/d")]
