@@ -30,7 +30,9 @@ def configurations(files: DataFrame) -> DataFrame:
     ``files``: path, content. Comments are allowed; what isn't JSON has no options. Only relative ``extends`` are followed; the
     nearest definition of each option counts, seen from the folder of its file.
     """
-    parsed = F.from_json("content", OPTIONS, {"allowComments": "true"})
+    # A comma may stand before a closing bracket, with comments between.
+    tidy = F.regexp_replace("content", r",(?=(?:\s|//[^\n]*\n|/\*(?s:.*?)\*/)*[}\]])", "")
+    parsed = F.from_json(tidy, OPTIONS, {"allowComments": "true"})
     own = files.filter(F.col("path").endswith(".json")).select("path", dirname(F.col("path")).alias("folder"), parsed.alias("o"))
     base = F.when(F.col("o.compilerOptions.baseUrl").isNotNull(), joined(F.col("folder"), F.col("o.compilerOptions.baseUrl")))
     aliases = F.when(F.col("o.compilerOptions.paths").isNotNull(), F.transform(F.map_entries("o.compilerOptions.paths"), lambda e: F.struct(e.key.alias("pattern"), e.value.alias("targets"))))

@@ -112,4 +112,9 @@ def sql(body: str, *more: str, base: list[str] | None = None) -> str:
     return "WITH RECURSIVE " + ",\n".join([*(GRAPH if base is None else base), *more]) + "\n" + body
 
 
+def plain_sql(body: str, *more: str) -> str:
+    """The same without recursion and without tables that must be kept."""
+    return sql(body, *more).replace("WITH RECURSIVE ", "WITH ", 1).replace(" AS MATERIALIZED (", " AS (")
+
+
 LAYER_RANK = f"list_position({_list(LAYERS)}, layer)"

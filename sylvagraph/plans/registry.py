@@ -218,7 +218,7 @@ def _(g):
 
 
 # Health and patterns.
-@on_graph("orphan_nodes", o.sql("SELECT id FROM orphans", o.CLASSIFIED, o.ORPHANS))
+@on_graph("orphan_nodes", o.plain_sql("SELECT id FROM orphans", o.CLASSIFIED, o.ORPHANS))
 def _(g):
     return health.orphans(g, architecture.classify(g.nodes))
 
@@ -700,7 +700,7 @@ def _(spark, sf_dir):
     return project.recent_projects(opened).select("path", "last_opened")
 
 
-@on_graph("rename_preview", o.sql("SELECT 'node' AS kind, id AS text FROM moved UNION ALL SELECT DISTINCT 'edge', source_id || ' -> ' || target_id || '' FROM (SELECT DISTINCT * FROM stored WHERE source_id IN (SELECT id FROM moved) OR target_id IN (SELECT id FROM moved))", o.STORED, "moved AS (SELECT id FROM nodes WHERE starts_with(id, '/proj/src/store/') OR split_part(id, '#', 1) = '/proj/src/store')"))
+@on_graph("rename_preview", o.plain_sql("SELECT 'node' AS kind, id AS text FROM moved UNION ALL SELECT DISTINCT 'edge', source_id || ' -> ' || target_id || '' FROM (SELECT DISTINCT * FROM stored WHERE source_id IN (SELECT id FROM moved) OR target_id IN (SELECT id FROM moved))", o.STORED, "moved AS (SELECT id FROM nodes WHERE starts_with(id, '/proj/src/store/') OR split_part(id, '#', 1) = '/proj/src/store')"))
 def _(g):
     return project.rename_preview(g.nodes, stats.graph_edges(g.nodes, g.links), "/proj/src/store").distinct()
 
@@ -716,7 +716,7 @@ def _(g):
     return g.nodes.select(F.to_json(F.struct("id", "type", "label", F.col("id").alias("filePath"))).alias("line"))
 
 
-@on_graph("dot_export_lines", o.sql("SELECT '  \"' || id || '\" [label=\"' || label || '\"];' AS line FROM nodes UNION ALL SELECT '  \"' || source_id || '\" -> \"' || target_id || '\" [label=\"' || type || '\"];' FROM stored", o.STORED))
+@on_graph("dot_export_lines", o.plain_sql("SELECT '  \"' || id || '\" [label=\"' || label || '\"];' AS line FROM nodes UNION ALL SELECT '  \"' || source_id || '\" -> \"' || target_id || '\" [label=\"' || type || '\"];' FROM stored", o.STORED))
 def _(g):
     from sylvagraph.sinks.export import dot_lines
 

@@ -4,7 +4,7 @@ from sylvagraph.operators import build, modules
 
 
 def test_aliases_and_endings(spark):
-    base = '{ // shared\n "compilerOptions": {"baseUrl": "src", "paths": {"@/*": ["*"], "@ui/*": ["ui/*", "old/*"], "exact": ["lib/exact"]}}}'
+    base = '{ // shared\n "compilerOptions": {"baseUrl": "src", "paths": {"@/*": ["*"], "@ui/*": ["ui/*", "old/*"], "exact": ["lib/exact",],}, /* end */ // of all\n }, }'
     files = [
         ("/p/tsconfig.json", '{"extends": "./base"}'), ("/p/base.json", base), ("/p/sub/jsconfig.json", '{"compilerOptions": {"paths": {"~/*": ["./x/*"]}}}'), ("/p/bad/tsconfig.json", "{nonsense"),
         ("/p/src/a.ts", ""), ("/p/src/ui/button.tsx", ""), ("/p/src/old/list.ts", ""), ("/p/src/lib/exact.ts", ""), ("/p/src/lib/index.ts", ""), ("/p/sub/x/k.js", ""), ("/p/sub/m.ts", ""), ("/p/bad/n.ts", ""),
