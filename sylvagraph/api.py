@@ -135,25 +135,41 @@ def prepare_project_context(graph: CodeGraph, texts: Texts = None, include_secur
     return out
 
 
+#: How many related nodes, patterns, findings and files a change context shows.
+MOST_NODES, MOST_PATTERNS, MOST_FINDINGS, MOST_FILES = 12, 8, 10, 15
+
+
 def prepare_change_context(graph: CodeGraph, target: str, texts: Texts = None, type: str | None = None, depth: int = 3, include_security_findings: bool = False) -> dict:
-    node, others, reason = search.resolve_target(graph.nodes, target, type)
+    """What a change of a node touches. Related ids stay a table; lists are the first of their kind in store order."""
+    node, others, how = search.resolve_target(graph.nodes, target, type)
+    reason, exact = ("exact_id_match", True) if how == "exact_id" else search.match_reason(node, target)
     classified, edges = _layers(graph)
-    file = node["id"].split("#")[0]
-    blast = get_blast_radius(graph, node["id"], depth)
-    near = {file, *(r["id"].split("#")[0] for r in blast["nodes"])}
+    file, root = F.lit(node["id"].split("#")[0]), graph.nodes.filter(F.col("id") == node["id"]).select("id")
+    near = stats.dependency_nodes(graph.nodes, graph.links, root).persist()
+    reached = traverse.blast_radius(graph.nodes, graph.links, root, _bounded(depth, 1, 20)).join(graph.nodes.select("id", "label", "type", "ord"), "id").persist()
+    # Ids in the order in which they are recommended: the node, what it uses, what uses it, what else depends on it.
+    group = F.when(F.col("direction") == "out", 1).otherwise(2)
+    ordered = root.select("id", F.lit(0).alias("group"), F.lit(0).cast("bigint").alias("ord")).unionByName(near.select("id", group.alias("group"), "ord")).unionByName(reached.select("id", (F.col("depth") + 2).alias("group"), "ord"))
+    files = ordered.groupBy(F.substring_index("id", "#", 1).alias("id")).agg(F.min(F.struct("group", "ord")).alias("first"))
+    related = ordered.select(F.col("id").alias("node_id")).unionByName(files.select(F.col("id").alias("node_id"))).distinct()
+    patterns = health.pattern_rows(graph, classified, traverse.hierarchy_depth(graph.nodes)).join(related, "node_id", "left_semi")
+    shown = lambda df, *columns: _rows(df.select(*columns), MOST_NODES)
+    side = lambda d: near.filter(F.col("direction") == d).orderBy("ord")
+    records = stats.related_records(graph.nodes, graph.links, root).select("id").join(graph.nodes.select("id", "label", "ord"), "id").orderBy("ord")
     out = {
-        "target": node, "alternatives": others, "match": reason, "dependencies": get_node_dependencies(graph, node["id"]), "blast_radius": blast | {"nodes": blast["nodes"][:12]},
+        "target": node, "exact_match": exact, "alternatives": others, "match": how, "match_reason": reason,
         "layer": _rows(classified.filter(F.col("id") == node["id"]).select("layer", "reason"))[0],
-        "recommended_files": [file, *sorted(near - {file})][:15],
+        "architecture": {"summary": _rows(architecture.summary(classified, edges))[0], "dependencies": _rows(architecture.dependencies(edges), 10)},
+        "dependencies": {"outgoing": shown(side("out"), "id", "label", "type", "link_type"), "incoming": shown(side("in"), "id", "label", "type", "link_type"), "records": shown(records, "id", "label")},
+        "blast_radius": _rows(traverse.blast_summary(graph.nodes, graph.links, root, depth))[0] | {"direct": shown(reached.filter("depth = 1").orderBy("ord"), "id", "label", "type"), "nodes": shown(reached.orderBy("depth", "ord"), "id", "label", "type", "depth")},
+        "violations": _rows(architecture.violations(edges).filter((F.col("s") == file) | (F.col("t") == file)).orderBy("s", "t"), 100),
+        "patterns": _rows(patterns.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern_id"), MOST_PATTERNS),
+        "recommended_files": [r["id"] for r in _rows(files.orderBy("first", "id").select("id"), MOST_FILES)],
     }
-    related = {node["id"], *(r["id"] for r in blast["nodes"]), *near}
-    around = graph.nodes.sparkSession.createDataFrame([(x,) for x in sorted(related)], "node_id string")
-    broken = architecture.violations(edges)
-    ends = broken.join(around.withColumnRenamed("node_id", "s"), "s", "left_semi").unionByName(broken.join(around.withColumnRenamed("node_id", "t"), "t", "left_semi").select(*broken.columns)).distinct()
-    patterns = health.pattern_rows(graph, classified, traverse.hierarchy_depth(graph.nodes)).join(around, "node_id", "left_semi")
-    out |= {"violations": _rows(ends.orderBy("s", "t")), "patterns": _rows(patterns.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern_id"))}
     if include_security_findings:
-        out["findings"] = _rows(_findings(graph, texts).join(around, "node_id", "left_semi").orderBy("node_id", "rule_id"), 10)
+        out["findings"] = _rows(_findings(graph, texts).join(files.select(F.col("id").alias("node_id")), "node_id", "left_semi").orderBy("node_id", "rule_id"), MOST_FINDINGS)
+    near.unpersist()
+    reached.unpersist()
     return out
 
 

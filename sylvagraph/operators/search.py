@@ -116,6 +116,19 @@ def resolve_target(nodes: DataFrame, target: str, kind: str | None = None) -> tu
     return top, [r for r in found if r["id"] != top["id"]][:5], "promoted_code" if top is not found[0] else "ranked"
 
 
+def match_reason(node: dict, asked: str) -> tuple[str, bool]:
+    """What a found node shares with the text that was asked for, and whether that is a whole name of it."""
+    asked, label = asked.strip().lower(), node["label"].lower()
+    base = node["id"].lower().split("#")[0].rsplit("/", 1)[-1]
+    if re.sub(r"\.[^.]+$", "", base) == asked:
+        return "basename_without_extension_match", True
+    if base == asked:
+        return "basename_match", True
+    if label == asked:
+        return "label_match", True
+    return ("label_prefix_match" if label.startswith(asked) else "fuzzy_graph_match"), False
+
+
 def _named(row: dict, asked: str) -> bool:
     base = row["id"].lower().split("#")[0].rsplit("/", 1)[-1]
     label = row["label"].lower()

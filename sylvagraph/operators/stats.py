@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylvagraph.functions.paths import dirname, extension
+from sylvagraph.functions.paths import dirname, extension, structural
 
 # Languages by extension.
 LANGUAGES = {
@@ -102,6 +102,26 @@ def dependencies(links: DataFrame, of: DataFrame) -> DataFrame:
     return out.unionByName(into).join(ids, "origin", "left_semi")
 
 
+def dependency_nodes(nodes: DataFrame, links: DataFrame, of: DataFrame) -> DataFrame:
+    """origin, direction, id, label, type, link_type and ord (the link's) of the nodes at the other ends of ``dependencies``; ends that don't exist are left out, repeats stay."""
+    ids = of.select(F.col("id").alias("origin"))
+    out = links.select(F.col("source").alias("origin"), F.lit("out").alias("direction"), F.col("target").alias("id"), F.col("type").alias("link_type"), "ord")
+    into = links.select(F.col("target").alias("origin"), F.lit("in").alias("direction"), F.col("source").alias("id"), F.col("type").alias("link_type"), "ord")
+    near = out.unionByName(into).join(ids, "origin", "left_semi")
+    return near.join(nodes.select("id", "label", "type"), "id").select("origin", "direction", "id", "label", "type", "link_type", "ord")
+
+
+def related_records(nodes: DataFrame, links: DataFrame, of: DataFrame) -> DataFrame:
+    """origin and id of the decision records at either end of an adr link that touches an id of ``of`` or starts in its file."""
+    ids = of.select(F.col("id").alias("origin")).distinct()
+    adr = links.filter("type = 'adr'").select("source", "target")
+    by_source = ids.join(adr, ids.origin == adr.source).select("origin", "source", "target")
+    by_target = ids.join(adr, ids.origin == adr.target).select("origin", "source", "target")
+    by_file = ids.withColumn("file", structural(F.col("origin"))).join(adr.withColumn("file", structural(F.col("source"))), "file").select("origin", "source", "target")
+    ends = by_source.unionByName(by_target).unionByName(by_file).select("origin", F.explode(F.array("source", "target")).alias("id"))
+    return ends.join(nodes.filter("type = 'adr'").select("id"), "id", "left_semi").select("origin", "id").distinct()
+
+
 def truncated(nodes: DataFrame, links: DataFrame, most_nodes: int = 1000, most_links: int = 2000) -> DataFrame:
     """The first nodes and links in store order, with whether anything was cut off."""
     flag = totals(nodes, links).select(((F.col("node_count") > most_nodes) | (F.col("link_count") > most_links)).alias("truncated"))

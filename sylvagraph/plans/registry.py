@@ -834,3 +834,14 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     g = adapter.raw_graph(spark, sf_dir)
     return search.signatures(g.nodes, adapter.code_lines(spark, sf_dir), r"\b(class|function) sym_[0-9]*7\b", limit=100, case_sensitive=True, regex=True).select("node_id", "symbol_id", "line")
+
+
+@on_graph("dependency_nodes", o.sql("SELECT l.source AS origin, 'out' AS direction, n.id, n.label, n.type, l.type AS link_type FROM links l JOIN nodes n ON n.id = l.target UNION ALL SELECT l.target, 'in', n.id, n.label, n.type, l.type FROM links l JOIN nodes n ON n.id = l.source"))
+def _(g):
+    """Both sides of every node."""
+    return stats.dependency_nodes(g.nodes, g.links, g.nodes).drop("ord")
+
+
+@on_graph("related_records", o.sql("SELECT DISTINCT n.id AS origin, r.id FROM nodes n JOIN links l ON l.type = 'adr' AND (l.source = n.id OR l.target = n.id OR split_part(l.source, '#', 1) = split_part(n.id, '#', 1)) JOIN nodes r ON r.type = 'adr' AND r.id IN (l.source, l.target)"))
+def _(g):
+    return stats.related_records(g.nodes, g.links, g.nodes)

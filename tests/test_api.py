@@ -36,7 +36,11 @@ def test_tools(spark, sf_dir, graph):
 
 
 def test_contexts(graph):
-    assert api.prepare_change_context(graph, "part_11")["target"]["label"].startswith("part_11")
+    found = api.prepare_change_context(graph, "part_11", include_security_findings=True)
+    assert found["target"]["label"].startswith("part_11") and found["recommended_files"][0] == found["target"]["id"].split("#")[0]
+    assert found["match_reason"] == "basename_without_extension_match" and found["exact_match"] and len(found["recommended_files"]) <= 15
+    whole = api.prepare_change_context(graph, found["target"]["id"].upper())
+    assert (whole["match_reason"], whole["target"]["id"], whole["alternatives"]) == ("exact_id_match", found["target"]["id"], [])
     task = api.prepare_task_context(graph, "Replace part_12 across all services")
     assert task["route"] == "campaign" and task["context"]["seeds"]
     assert len(api.prepare_review_context(graph, focus_query="services")["priorities"]) <= 6
