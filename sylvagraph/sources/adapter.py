@@ -13,6 +13,7 @@ from sylvagraph.lineage import cut
 from sylvagraph.operators.resolve import resolve_links
 from sylvagraph.schema import CodeGraph
 from sylvagraph.sources.tables import read_table
+from sylvagraph.sources.versions import Memo
 
 ROOT = "/proj"
 DIRS = ["src/components", "src/store", "src/services", "src/domain", "src/api", "src/utils", "src/analysis", "src/parsing", "src/oracle", "scripts", "lib/a/b/c/misc", "src/layout"]
@@ -103,11 +104,18 @@ def raw_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     return CodeGraph(nodes, raw_links(spark, sf_dir, found), ROOT)
 
 
+_GRAPHS = Memo()
+
+
 def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    """The graph with resolved links. Its tables are checkpointed, since every analysis reads them several times."""
-    raw = raw_graph(spark, sf_dir)
-    nodes = cut(raw.nodes)
-    return CodeGraph(nodes, cut(resolve_links(nodes, cut(raw.links))), raw.root)
+    """The graph with resolved links, checkpointed, since every analysis reads it several times. It is made once a session for one state of its input files."""
+
+    def made() -> CodeGraph:
+        raw = raw_graph(spark, sf_dir)
+        nodes = cut(raw.nodes)
+        return CodeGraph(nodes, cut(resolve_links(nodes, cut(raw.links))), raw.root)
+
+    return _GRAPHS.get(spark, [f"{sf_dir}/{name}.parquet" for name in ("part", "lineitem", "events")], made)
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

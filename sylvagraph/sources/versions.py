@@ -6,7 +6,9 @@ A reader keeps the files that it has begun to read, and a crash in the middle of
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections import OrderedDict
+from collections.abc import Callable, Iterable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +70,34 @@ def forget(spark: SparkSession, base: str, keep: int = 2) -> None:
             fs.delete(status.getPath(), True)
 
 
+def revision(spark: SparkSession, *paths: str) -> tuple:
+    """What the files under ``paths`` are just now: names, lengths and times of change."""
+    found = []
+    for path in paths:
+        fs, folder = _folder(spark, path)
+        each = fs.listFiles(folder, True)
+        while each.hasNext():
+            status = each.next()
+            found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
+class Memo:
+    """What was made of a revision of its inputs is kept for as long as these stay the same: the last ``most`` of them, for one application."""
+
+    def __init__(self, most: int = 3):
+        self.most, self.held = most, OrderedDict()
+
+    def get(self, spark: SparkSession, inputs: list[str], make: Callable[[], Any]) -> Any:
+        key = (spark.sparkContext.applicationId, revision(spark, *inputs))
+        if key not in self.held:
+            self.held[key] = make()
+            while len(self.held) > self.most:
+                self.held.popitem(last=False)
+        self.held.move_to_end(key)
+        return self.held[key]
+
+
 class DeltaTable:
     """Rows by key, kept as what each version changed: the keys that it touched and the rows that they have now.
 

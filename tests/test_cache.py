@@ -48,6 +48,32 @@ def test_a_restored_snapshot_can_be_saved_again(spark, tmp_path):
     assert cache.load(spark, base, "/p")[0].nodes.count() == 5 and not (tmp_path / "cache").joinpath(path.split("/")[-1], "version=0").exists()
 
 
+def test_graphs_are_made_once_a_revision(spark, tmp_path):
+    import os
+    import shutil
+    from pathlib import Path
+
+    from sylvagraph.sources import adapter
+
+    made = []
+    memo = versions.Memo(most=2)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x").write_text("1")
+    get = lambda: memo.get(spark, [str(tmp_path / "a")], lambda: made.append(1) or len(made))
+    assert (get(), get()) == (1, 1)
+    (tmp_path / "a" / "x").write_text("12")
+    assert (get(), get(), len(memo.held)) == (2, 2, 2)
+    os.utime(tmp_path / "a" / "x", (1, 1))
+    assert (get(), len(memo.held)) == (3, 2)
+    for name in ("part", "lineitem", "events"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path)
+    one, two = adapter.graph(spark, str(tmp_path)), adapter.graph(spark, str(tmp_path))
+    assert one is two
+    part = Path(tmp_path / "part.parquet")
+    spark.read.parquet(str(part)).limit(50).toPandas().to_parquet(part)
+    assert adapter.graph(spark, str(tmp_path)).nodes.count() < one.nodes.count()
+
+
 def test_chains_have_no_end_but_their_own(spark):
     chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}" if i < 100 else None) for i in range(101)], "id string, parent_id string")
     depth = {r.id: r.depth for r in traverse.hierarchy_depth(chain).collect()}
