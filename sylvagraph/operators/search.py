@@ -19,7 +19,7 @@ CAMPAIGN = {"label=": (160, 160), "base=": (200, 100), "stem=": (240, 120), "lab
 TYPE_PRIORITY = {"function": 6, "class": 5, "file": 4, "adr": 3, "directory": 1}
 CAMPAIGN_PRIORITY = {"file": 5, "class": 4, "function": 3}
 CODE_TYPES = ["file", "class", "function", "adr"]
-#: How a line begins that declares something.
+# How a line begins that declares something. The border after a keyword is written out: words are ASCII here, and Java's own border also counts other letters.
 DECLARATIONS = [
     r"^\s*(export\s+)?(default\s+)?(async\s+)?(class|function|interface|type|enum|struct|trait|impl|def|func|fn|module|namespace)(?![A-Za-z0-9_])",
     r"^\s*(export\s+)?(const|let|var)\s+\w+\s*=\s*(async\s*)?\([^)]*\)\s*=>",

@@ -31,11 +31,13 @@ def is_ignored_event(path: Column) -> Column:
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """path, mtime, length and content of a tree's files; contents above the size limit are null and not decoded."""
+    """path, mtime, length and content of a tree's files; contents above the size limit are null and never read, for the limit is pushed to the scan."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace(normalized(F.col("path")), "^file:/*", "/")
     rel = F.substring(path, len(root.rstrip("/")) + 2, 1 << 30)
-    return raw.filter(~is_ignored(rel)).select(path.alias("path"), F.col("modificationTime").alias("mtime"), "length", F.when(F.col("length") <= MOST_BYTES, F.decode("content", "UTF-8")).alias("content"))
+    within = lambda test, content: raw.filter(test).filter(~is_ignored(rel)).select(path.alias("path"), F.col("modificationTime").alias("mtime"), "length", content.alias("content"))
+    small = within(F.col("length") <= MOST_BYTES, F.decode("content", "UTF-8"))
+    return small.unionByName(within(F.col("length") > MOST_BYTES, F.lit(None).cast("string")))
 
 
 def to_parse(files: DataFrame, known: DataFrame) -> DataFrame:

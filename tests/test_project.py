@@ -38,6 +38,15 @@ def test_graph_of_a_project(graph, project):
     assert architecture.classify(graph.nodes).count() == graph.nodes.count()
 
 
+def test_large_files_are_not_read(spark, tmp_path):
+    (tmp_path / "big.ts").write_text("x" * (sources.MOST_BYTES + 1))
+    (tmp_path / "small.ts").write_text("é")
+    found = sources.discover(spark, str(tmp_path))
+    assert {r.path.split("/")[-1]: (r.length, r.content) for r in found.collect()} == {"big.ts": (sources.MOST_BYTES + 1, None), "small.ts": (2, "é")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length," in plan and plan.count("content#") < 4 * plan.count("FileScan")
+
+
 def test_removal(spark, graph, project):
     left = build.without_files(graph, spark.createDataFrame([(f"{project}/utils1.ts",)], "path string"))
     assert left.nodes.filter(F.col("id").contains("utils1.ts")).count() == 0
