@@ -14,19 +14,34 @@ def project_files(nodes: DataFrame, most: int = 10) -> DataFrame:
     return nodes.filter((F.col("type") == "file") & ~F.col("id").contains("/node_modules/") & ~F.col("id").contains("/.")).orderBy("ord", "id").limit(most)
 
 
+#: What a reader of a note may call and read.
+TOOLS = ["analyze_project", "get_graph_context", "get_node_dependencies", "get_blast_radius"]
+RESOURCES = ["project/summary", "graph/full", "agent/project-brain"]
+
+
 def skills(nodes: DataFrame, edges: DataFrame, asked: DataFrame) -> DataFrame:
-    """node_id, file_name and text of a note on each of the ``asked`` nodes (id). What the graph hints at is computed for all nodes, once."""
+    """node_id, name, description, file_name, hints, text and ord of a note on each of the ``asked`` nodes (id). What the graph hints at is computed for all nodes, once."""
     hints = pattern_hints(nodes, edges).join(asked.select("id").distinct(), "id", "left_semi")
-    rows = nodes.select("id", "label", "type").join(hints, "id")
+    rows = nodes.select("id", "label", "type", "ord").join(hints, "id")
     found = F.array_compact(F.array(F.when(F.col("in_cycle"), "circular dependency"), F.when(F.col("crowded"), "many neighbours: consider a split")))
-    return rows.select(F.col("id").alias("node_id"), F.concat(slug(F.col("label")), F.lit("-context.md")).alias("file_name"), _text(found).alias("text"))
+    name, description = F.concat(F.lit("context-"), slug(F.col("label"))), F.concat(F.lit("Context of "), F.col("label"), F.lit(" ("), F.col("type"), F.lit(")"))
+    noted = rows.select(F.col("id").alias("node_id"), name.alias("name"), description.alias("description"), F.concat(slug(F.col("label")), F.lit("-context.md")).alias("file_name"), found.alias("hints"), "label", "ord")
+    return noted.withColumn("text", _text()).drop("label")
+
+
+def _list(items: Column) -> Column:
+    return F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise("- none")
 
 
-def _text(hints: Column) -> Column:
-    listed = F.when(F.size(hints) > 0, F.array_join(F.transform(hints, lambda h: F.concat(F.lit("- "), h)), "\n")).otherwise("- none")
-    return F.concat(F.lit("# "), F.col("label"), F.lit("\n\nContext of "), F.col("label"), F.lit(" ("), F.col("type"), F.lit(").\n\n- Node: "), F.col("id"), F.lit("\n\n## Hints\n"), listed, F.lit("\n"))
+def _text() -> Column:
+    fixed = lambda xs: F.lit("\n".join(f"- {x}" for x in xs))
+    return F.concat(
+        F.lit("# "), F.col("label"), F.lit("\n\nName: "), F.col("name"), F.lit("\n\n"), F.col("description"), F.lit(".\n\n- Node: "), F.col("node_id"),
+        F.lit("\n\n## Tools\n"), fixed(TOOLS), F.lit("\n\n## Resources\n"), fixed(RESOURCES), F.lit("\n\n## Hints\n"), _list(F.col("hints")), F.lit("\n"),
+    )
 
 
 def write_skills(found: DataFrame, path: str) -> None:
-    """One folder a note, each with one text file."""
-    found.select("file_name", "text").write.mode("overwrite").partitionBy("file_name").option("lineSep", "\n\n").text(path)
+    """One folder a note, each with one text file. Of notes with one file name the last in store order stays."""
+    last = found.groupBy("file_name").agg(F.max_by("text", F.struct("ord", "node_id")).alias("text"))
+    last.write.mode("overwrite").partitionBy("file_name").option("lineSep", "\n\n").text(path)

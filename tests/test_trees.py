@@ -59,3 +59,15 @@ def test_folder_events(spark):
     files = watcher.applied(spark.createDataFrame([], watcher.FILES), df)
     assert sorted(r.path for r in files.collect()) == ["/p/new/", "/p/src/a.ts"]
     assert sorted(r.id for r in watcher.graph_of(files, "/p").nodes.collect()) == ["/p/new", "/p/src", "/p/src/a.ts"]
+
+
+def test_notes_of_one_name_are_one_file(spark, tmp_path):
+    from sylvagraph.sinks import skills
+
+    nodes = spark.createDataFrame([("/p/a/x.ts", "x.ts", "file", 1), ("/p/b/x.ts", "x.ts", "file", 2), ("/p/c/y.ts", "y.ts", "file", 3)], "id string, label string, type string, ord long")
+    edges = spark.createDataFrame([("/p/a/x.ts", "/p/b/x.ts"), ("/p/b/x.ts", "/p/a/x.ts")], "source_id string, target_id string")
+    found = skills.skills(nodes, edges, nodes)
+    skills.write_skills(found, str(tmp_path / "notes"))
+    texts = {p.parent.name.removeprefix("file_name="): p.read_text() for p in (tmp_path / "notes").glob("*/part-*.txt")}
+    assert set(texts) == {"x-ts-context.md", "y-ts-context.md"} and "/p/b/x.ts" in texts["x-ts-context.md"] and "/p/a/x.ts" not in texts["x-ts-context.md"]
+    assert "circular dependency" in texts["x-ts-context.md"] and "- none" in texts["y-ts-context.md"] and "- get_blast_radius" in texts["y-ts-context.md"]
