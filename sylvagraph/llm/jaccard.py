@@ -193,9 +193,11 @@ def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], candidates:
 
     mixed = _mixed(_rooted(between.drop("root"), first)).withColumn("crowd", F.count(F.lit(1)).over(of_key) > CROWD)
     rest = stored(mixed.select("key", "node", "size", "pos", "root", "crowd"))
-    pairs = _paired(rest.filter("not crowd"), similarity)
+    # Bitmaps go along, so that pairs that they rule out are never made.
+    longs = nodes.select("node", "longs").hint("merge")
+    pairs = _paired(rest.filter("not crowd").join(longs, "node"), similarity)
     crowded = rest.filter("crowd").select("node", F.col("size").cast("bigint").alias("size"), "root").distinct()
-    crowded = stored(crowded.join(nodes.select("node", "longs").hint("merge"), "node"))
+    crowded = stored(crowded.join(longs, "node"))
     again = stored(_mixed(_second_order(crowded, texts, similarity, shingle_words, seed)))
     pairs = pairs.unionByName(_paired(again, similarity)).distinct()
     later = stored(plausible(pairs.join(tried.hint("merge"), ["src", "dst"], "left_anti"), nodes, similarity))
