@@ -76,7 +76,7 @@ def get_health_score(graph: CodeGraph) -> dict:
 
 def get_architecture_overview(graph: CodeGraph, include_classifications: bool = False) -> dict:
     classified, edges = _layers(graph)
-    out = {"summary": _rows(architecture.summary(classified, edges))[0], "layers": _rows(architecture.layer_counts(classified)), "dependencies": _rows(architecture.dependencies(edges)), "violations": _rows(architecture.violations(edges).orderBy("s", "t"))}
+    out = {"summary": _rows(architecture.summary(classified, edges))[0], "layers": _rows(architecture.layer_counts(classified)), "dependencies": _rows(architecture.dependencies(edges)), "violations": _rows(architecture.violations(edges).orderBy("ord", "s", "t").drop("ord"))}
     return out | {"classifications": _rows(classified.orderBy("ord").select("id", "layer", "reason"))} if include_classifications else out
 
 
@@ -162,7 +162,7 @@ def prepare_change_context(graph: CodeGraph, target: str, texts: Texts = None, t
         "architecture": {"summary": _rows(architecture.summary(classified, edges))[0], "dependencies": _rows(architecture.dependencies(edges), 10)},
         "dependencies": {"outgoing": shown(side("out"), "id", "label", "type", "link_type"), "incoming": shown(side("in"), "id", "label", "type", "link_type"), "records": shown(records, "id", "label")},
         "blast_radius": _rows(traverse.blast_summary(graph.nodes, graph.links, root, depth))[0] | {"direct": shown(reached.filter("depth = 1").orderBy("ord"), "id", "label", "type"), "nodes": shown(reached.orderBy("depth", "ord"), "id", "label", "type", "depth")},
-        "violations": _rows(architecture.violations(edges).filter((F.col("s") == file) | (F.col("t") == file)).orderBy("s", "t"), 100),
+        "violations": _rows(architecture.violations(edges).filter((F.col("s") == file) | (F.col("t") == file)).orderBy("ord", "s", "t").drop("ord"), 100),
         "patterns": _rows(patterns.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern_id"), MOST_PATTERNS),
         "recommended_files": [r["id"] for r in _rows(files.orderBy("first", "id").select("id"), MOST_FILES)],
     }

@@ -85,19 +85,20 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str], rows: int) -> D
 
 
 def import_edges(links: DataFrame) -> DataFrame:
-    """Distinct pairs (s, t) of files between which an import goes, without loops."""
-    return links.filter("type = 'import'").select(structural(F.col("source")).alias("s"), structural(F.col("target")).alias("t")).filter("s != t").distinct()
+    """Distinct pairs (s, t) of files between which an import goes, without loops, with the place (ord) of the first one in store order."""
+    pairs = links.filter("type = 'import'").select(structural(F.col("source")).alias("s"), structural(F.col("target")).alias("t"), "ord").filter("s != t")
+    return pairs.groupBy("s", "t").agg(F.min("ord").alias("ord"))
 
 
 def layered_edges(links: DataFrame, classified: DataFrame) -> DataFrame:
-    """s, t, source_layer, target_layer."""
+    """s, t, source_layer, target_layer and ord."""
     of = classified.select("id", "layer")
     unknown = lambda c: F.coalesce(c, F.lit("unknown"))
     return (
         import_edges(links)
         .join(of.select(F.col("id").alias("s"), F.col("layer").alias("a")), "s", "left")
         .join(of.select(F.col("id").alias("t"), F.col("layer").alias("b")), "t", "left")
-        .select("s", "t", unknown(F.col("a")).alias("source_layer"), unknown(F.col("b")).alias("target_layer"))
+        .select("s", "t", unknown(F.col("a")).alias("source_layer"), unknown(F.col("b")).alias("target_layer"), "ord")
     )
 
 

@@ -116,8 +116,8 @@ def pattern_rows(graph: CodeGraph, classified: DataFrame, with_depth: DataFrame)
 
 
 def violation_ends(found: DataFrame, most: int = 15) -> DataFrame:
-    """place and node_id of both ends of the first violations (s, t), repeats included."""
-    first = found.orderBy("s", "t").limit(most).agg(F.sort_array(F.collect_list(F.struct("s", "t"))).alias("v"))
+    """place and node_id of both ends of the first violations (s, t, ord) in store order, repeats included."""
+    first = found.orderBy("ord", "s", "t").limit(most).agg(F.sort_array(F.collect_list(F.struct("ord", "s", "t"))).alias("v"))
     return first.select(F.posexplode(F.flatten(F.transform("v", lambda x: F.array(x.s, x.t)))).alias("place", "node_id"))
 
 

@@ -85,8 +85,8 @@ _STRICT = " OR ".join(f"(source_layer = '{k}' AND target_layer NOT IN {_in(v)})"
 VIOLATES = f"""(source_layer <> 'unknown' AND target_layer <> 'unknown' AND source_layer <> target_layer
     AND (target_layer = 'presentation' OR {_STRICT} OR (source_layer IN {_in(NOT_INTEGRATION)} AND target_layer = 'integration')))"""
 EDGES = f"""edges AS MATERIALIZED (
-    SELECT s, t, coalesce(a.layer, 'unknown') AS source_layer, coalesce(b.layer, 'unknown') AS target_layer
-    FROM (SELECT DISTINCT split_part(source, '#', 1) AS s, split_part(target, '#', 1) AS t FROM links WHERE type = 'import') e
+    SELECT s, t, coalesce(a.layer, 'unknown') AS source_layer, coalesce(b.layer, 'unknown') AS target_layer, e.ord
+    FROM (SELECT split_part(source, '#', 1) AS s, split_part(target, '#', 1) AS t, min(ord) AS ord FROM links WHERE type = 'import' GROUP BY 1, 2) e
     LEFT JOIN classified a ON a.id = s LEFT JOIN classified b ON b.id = t WHERE s <> t
 ), violations AS (SELECT * FROM edges WHERE {VIOLATES})"""
 DEGREES = """degrees AS MATERIALIZED (

@@ -595,7 +595,7 @@ def _(g):
     return traverse.tree(g.nodes, F.col("type") != "directory")
 
 
-@on_graph("violation_ends", o.sql("SELECT CAST((k - 1) * 2 + side AS INTEGER) AS place, CASE side WHEN 0 THEN s ELSE t END AS node_id FROM (SELECT s, t, row_number() OVER (ORDER BY s, t) AS k FROM violations), (VALUES (0), (1)) x(side) WHERE k <= 15", o.CLASSIFIED, o.EDGES))
+@on_graph("violation_ends", o.sql("SELECT CAST((k - 1) * 2 + side AS INTEGER) AS place, CASE side WHEN 0 THEN s ELSE t END AS node_id FROM (SELECT s, t, row_number() OVER (ORDER BY ord, s, t) AS k FROM violations), (VALUES (0), (1)) x(side) WHERE k <= 15", o.CLASSIFIED, o.EDGES))
 def _(g):
     return health.violation_ends(architecture.violations(layered(g)[1]))
 
