@@ -35,10 +35,16 @@ def type_priority(kind: Column, table: dict[str, int] = TYPE_PRIORITY, default:
     return found
 
 
-def _tests(query: Column) -> dict[str, Column]:
+def _names() -> Column:
+    """What of a node is compared with a query."""
     label, ident = F.lower("label"), F.lower("id")
     base = basename(structural(ident))
-    near = stem(base)
+    return F.struct(label.alias("label"), ident.alias("id"), base.alias("base"), stem(base).alias("stem"))
+
+
+def _tests(query: Column, names: Column | None = None) -> dict[str, Column]:
+    names = _names() if names is None else names
+    label, ident, base, near = (names[c] for c in ("label", "id", "base", "stem"))
     return {
         "label=": label == query, "base=": base == query, "stem=": near == query, "label_stem=": stem(label) == query,
         "id$": ident.endswith(F.concat(F.lit("/"), query)) | ident.endswith(F.concat(F.lit("/"), query, F.lit(".ts"))) | ident.endswith(F.concat(F.lit("/"), query, F.lit(".tsx"))),
@@ -55,20 +61,20 @@ def generic_score(query: Column) -> Column:
     return total
 
 
-def weighted_score(query: Column, weights: dict[str, tuple[int, int]], priority: Column) -> Column:
+def weighted_score(query: Column, weights: dict[str, tuple[int, int]], priority: Column, names: Column | None = None) -> Column:
     """0 without any match of texts."""
-    tests, total = _tests(query), F.lit(0)
+    tests, total = _tests(query, names), F.lit(0)
     for name, (of_file, other) in weights.items():
         total = total + F.when(tests[name], F.when(F.col("type") == "file", of_file).otherwise(other)).otherwise(0)
     return F.when((F.length(query) > 0) & (total > 0), total + priority * 10).otherwise(0)
 
 
-def task_score(query: Column) -> Column:
-    return weighted_score(query, TASK, type_priority(F.col("type")))
+def task_score(query: Column, names: Column | None = None) -> Column:
+    return weighted_score(query, TASK, type_priority(F.col("type")), names)
 
 
-def campaign_score(query: Column) -> Column:
-    return weighted_score(query, CAMPAIGN, type_priority(F.col("type"), CAMPAIGN_PRIORITY, 1))
+def campaign_score(query: Column, names: Column | None = None) -> Column:
+    return weighted_score(query, CAMPAIGN, type_priority(F.col("type"), CAMPAIGN_PRIORITY, 1), names)
 
 
 def _matching(nodes: DataFrame, query: str, kind: str | None) -> DataFrame:
@@ -92,7 +98,8 @@ def best_scores(nodes: DataFrame, queries: DataFrame, weights: str) -> DataFrame
     """``nodes`` with the highest score over all queries (column query; few rows, so each node is scored against them as a list)."""
     score = {"task": task_score, "campaign": campaign_score}[weights]
     asked = queries.agg(F.collect_set(F.trim(F.lower("query"))).alias("q"))
-    best = F.array_max(F.transform("asked", lambda q: score(q)))
+    # A lambda's variable is a value: names are made once a node, not once a test.
+    best = F.transform(F.array(_names()), lambda names: F.array_max(F.transform("asked", lambda q: score(q, names))))[0]
     return nodes.withColumn("asked", asked.scalar()).withColumn("score", best).filter("score > 0").drop("asked", "exports")
 
 
