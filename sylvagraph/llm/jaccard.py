@@ -41,6 +41,9 @@ LONGS = 8
 PIVOTS = 4
 #: A shingle that leaves more nodes than this in different groups is compared in the second order.
 CROWD = 64
+#: Orders of keys (their values under a mask) of which a row has the smallest earlier key, and all its marks.
+MASKS = (0, 0x5555555555555555, 0x3333333333333333)
+MARKS = ("previous", "high", *(f"low{i}" for i in range(len(MASKS))))
 
 
 def shingles_of(text: bytes, shingle_words: int = 5, seed: int = 42) -> np.ndarray:
@@ -195,11 +198,12 @@ def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], candidates:
     rest = stored(mixed.select("key", "node", "size", "pos", "root", "crowd"))
     # Bitmaps go along, so that pairs that they rule out are never made.
     longs = nodes.select("node", "longs").hint("merge")
-    pairs = _paired(rest.filter("not crowd").join(longs, "node"), similarity)
+    # Nodes with a crowded key in common are compared in the second order anyway, so such keys too count as earlier ones.
+    pairs = _paired(_marked(rest).filter("not crowd").join(longs, "node"), similarity)
     crowded = rest.filter("crowd").select("node", F.col("size").cast("bigint").alias("size"), "root").distinct()
     crowded = stored(crowded.join(longs, "node"))
     again = stored(_mixed(_second_order(crowded, texts, similarity, shingle_words, seed)))
-    pairs = pairs.unionByName(_paired(again, similarity)).distinct()
+    pairs = pairs.unionByName(_paired(_marked(again), similarity)).distinct()
     later = stored(plausible(pairs.join(tried.hint("merge"), ["src", "dst"], "left_anti"), nodes, similarity))
     return first.unionByName(verified(later, _texts_of(later, texts), similarity, shingle_words, seed))
 
@@ -215,14 +219,28 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("low", F.min("root").over(of_key)).withColumn("high", F.max("root").over(of_key)).filter("low != high").drop("low", "high")
 
 
+def _marked(rows: DataFrame) -> DataFrame:
+    """The rows with some of the node's keys before each: the last one, the largest, and the smallest in ``MASKS`` orders. Null for a node's first key."""
+    of_node = Window.partitionBy("node").orderBy("pos")
+    before = of_node.rowsBetween(Window.unboundedPreceding, -1)
+    least = [F.min(F.col("key").bitwiseXOR(F.lit(mask))).over(before).alias(f"low{i}") for i, mask in enumerate(MASKS)]
+    return rows.select("*", F.lag("key").over(of_node).alias("previous"), F.max("key").over(before).alias("high"), *least)
+
+
 def _paired(rows: DataFrame, similarity: Fraction) -> DataFrame:
-    """src and dst of nodes of different roots that share a key and may be alike by sizes, places and, if they have them, longs. ``rows``: key, node, size, pos, root."""
+    """src and dst of nodes of different roots that share a key and may be alike by sizes, places, longs and, if they have them, the marks of ``_marked``. ``rows``: key, node, size, pos, root, longs.
+
+    Long texts that share a passage share hundreds of keys. A mark that both have is an earlier key in common, under which the pair is made, or was
+    ruled out for good: so most pairs are made once, under their first key.
+    """
     p, q = similarity.numerator, similarity.denominator
     a, b = rows.alias("a"), rows.alias("b").hint("merge")
     size_a, size_b = F.col("a.size").cast("bigint"), F.col("b.size").cast("bigint")
     # The first shingle in common has none in common before it.
     left = 1 + F.least(size_a - F.col("a.pos") - 1, size_b - F.col("b.pos") - 1)
     fits = (F.least(size_a, size_b) * q >= F.greatest(size_a, size_b) * p) & (left * (p + q) >= (size_a + size_b) * p)
+    for mark in MARKS if "previous" in rows.columns else []:
+        fits = fits & ~F.coalesce(F.col(f"a.{mark}") == F.col(f"b.{mark}"), F.lit(False))
     if "longs" in rows.columns:
         # As for sketches: a bit that one alone has is a shingle that one alone has.
         alone = lambda x, y: sum((F.bit_count(F.col(f"{x}.longs")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}.longs")[i]))) for i in range(LONGS)), F.lit(0))

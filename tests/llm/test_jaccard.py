@@ -67,3 +67,16 @@ def test_sketches_rule_out_no_link():
         assert may or not jaccard.alike(x, y, Fraction(4, 5))
         ruled_out += not may
     assert ruled_out > 500
+
+
+def test_pairs_of_a_passage_are_made_once(spark):
+    rng = random.Random(3)
+    keys = [rng.getrandbits(64) - (1 << 63) for _ in range(400)]
+    rows = []
+    for node in range(30):
+        mine = sorted({*rng.sample(range(400), 40), *range(100 * (node % 3), 100 * (node % 3) + 90)})
+        rows += [(keys[k], node, 1000 + node, pos, node, [0] * jaccard.LONGS) for pos, k in enumerate(mine)]
+    df = spark.createDataFrame(rows, "key long, node long, size int, pos int, root long, longs array<bigint>")
+    made = [[tuple(r) for r in jaccard._paired(x, Fraction(4, 5)).collect()] for x in (df, jaccard._marked(df))]
+    assert set(made[0]) == set(made[1]) and len(set(made[1])) > 300
+    assert 4 * len(made[1]) < len(made[0])
