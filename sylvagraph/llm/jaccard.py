@@ -6,6 +6,7 @@ are linked if their Jaccard similarity is ``similarity`` or more; groups are wha
 Candidates lose no link: in any one order of all shingles, two sets that similar share one among the first
 n - ceil(similarity * n) + 1 of each (prefix filter), the first such leaves enough behind it (positional filter), and their sizes are as near
 (length filter). The order begins with rare shingles, as seen in a sample: the sample decides how many candidates there are, not which links are found.
+It is a fixed share of the texts, so that shingles of CROWD texts are known as frequent in a large table as in a small one.
 Every candidate must pass a bound from sketches, small bitmaps of the shingles: a bit that only one of two sets has stands for a shingle that only
 that one has. Those that do are verified by the shingles of both texts.
 
@@ -33,8 +34,8 @@ from sylvagraph.llm.common import arrow_map, majority_bits, shingle_hashes, stor
 from sylvagraph.llm.components import connected_components
 from sylvagraph.llm.vectors import slices
 
-#: The sample that tells frequent shingles: so many rows; seen in so many of them; the table's size.
-SAMPLE_ROWS, SEEN, FREQUENT = 10_000, 4, 1 << 18
+#: The sample that tells frequent shingles: one row of so many, and so many rows at least; seen in so many of them; the table's size.
+SAMPLE_OF, SAMPLE_ROWS, SEEN, FREQUENT = 4, 10_000, 4, 1 << 18
 #: Longs of a node's bits, the bitmap that joins of the second order look at.
 LONGS = 8
 #: Nodes that all others of a shingle are verified against once the first links are known.
@@ -59,7 +60,7 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: Fraction) -> bool:
 def _frequent(df: DataFrame, text_col: str, shingle_words: int, seed: int) -> np.ndarray:
     """Sorted by hash: shingles frequent in a sample, and their counts, as two rows."""
     rows = df.count()
-    some = df.select(text_col).sample(min(1.0, SAMPLE_ROWS / max(rows, 1)), seed=seed)
+    some = df.select(text_col).sample(min(1.0, max(1 / SAMPLE_OF, SAMPLE_ROWS / max(rows, 1))), seed=seed)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, 500):
@@ -156,14 +157,14 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: Fraction, shingle_w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch, 250)):
             keep = []
-            src, a, b = batch.column("src").to_pylist(), text_bytes(batch.column("a")), text_bytes(batch.column("b"))
+            src, a, b = part.column("src").to_pylist(), text_bytes(part.column("a")), text_bytes(part.column("b"))
             for s, x, y in zip(src, a, b, strict=True):
                 if s != last or mine is None:
                     last, mine = s, shingles_of(x, shingle_words, seed)
                 keep.append(alike(mine, shingles_of(y, shingle_words, seed), similarity))
-            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+            yield part.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
     # The order by src saves most of its shingles.
     named = lambda node, text: texts.select(F.col("node").alias(node), F.col("text").alias(text)).hint("merge")

@@ -80,3 +80,12 @@ def test_pairs_of_a_passage_are_made_once(spark):
     made = [[tuple(r) for r in jaccard._paired(x, Fraction(4, 5)).collect()] for x in (df, jaccard._marked(df))]
     assert set(made[0]) == set(made[1]) and len(set(made[1])) > 300
     assert 4 * len(made[1]) < len(made[0])
+
+
+def test_the_sample_follows_the_table(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLE_ROWS", 40)
+    passage = " ".join(f"passage{i}" for i in range(20))
+    texts = [f"{passage} own{i}" if i % 25 == 0 else " ".join(f"own{i}x{j}" for j in range(7)) for i in range(2000)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    known, _ = jaccard._frequent(docs, "text", 5, 42)
+    assert set(jaccard.shingles_of(passage.encode()).tolist()) <= set(known.tolist())
