@@ -1,5 +1,6 @@
 """op9: rounds of exchange over single words."""
 
+import os
 import random
 import zlib
 from collections import Counter
@@ -7,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sylvagraph.llm import classlm
+from sylvagraph.llm import classlm, common
 
 
 def made_texts():
@@ -53,3 +54,19 @@ def test_rounds_do_not_depend_on_the_cut_and_fit_better(spark):
     assert sum(one[i].score - one[i].base_score for i, h in enumerate(held) if h) > 0
     empty = classlm.fit_and_score(docs.limit(0), rounds=2)
     assert empty.count() == 0
+
+
+def test_rounds_leave_the_coded_texts_alone(spark):
+    folder = common.shared_dir(spark).removeprefix("file:")
+    tables = lambda: {x for x in os.listdir(folder) if x.startswith("table-")}
+    docs, there = spark.createDataFrame(list(enumerate(made_texts())), "doc_id long, text string").repartition(3), tables()
+    found = classlm.fit_and_score(docs, rounds=2)
+    assert len(tables() - there) == 1 and found.count() == docs.count()
+    assert spark.conf.get(common.CLEANUP) == "false"
+
+
+def test_integers_are_packed_whole():
+    columns = [np.array([0, 7, 1 << 30], dtype=np.int32), np.array([-5, 1 << 40, 3], dtype=np.int64)]
+    for some in (columns, [x[:0] for x in columns]):
+        packed = classlm._packed_ints(*some)
+        assert [x.tolist() for x in classlm._unpacked_ints(packed, len(some[0]), "<i4", "<i8")] == [x.tolist() for x in some]
