@@ -16,14 +16,24 @@ from sylvagraph.llm import bpe, mixing, quality, simhash
 from sylvagraph.llm.common import free_name, quoted, shared_dir
 from sylvagraph.sources.tables import read_table
 
+#: Rows that Python workers get at a time. They are whole texts, or two: Spark's 10,000 of them are held several times over, in each worker and outside the heap.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets ``BATCH_ROWS`` for the session. It stays set, since a stage's result is made when the caller writes it; results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
+    small_batches(spark)
     return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles, that of the smallest id."""
+    small_batches(spark)
     return simhash.deduplicated(docs)
 
 
@@ -50,8 +60,9 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``position`` (from 0) is the row's place in the mixed order of ``docs``, which must be read from the files of the mixing stage.
     """
+    small_batches(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(positioned(docs), ranks, pattern, keep=["doc_id", "source", "position"]), ranks, pattern)
+    both = bpe.encode_and_decode(positioned(docs), ranks, pattern, keep=["doc_id", "source", "position"])
     return both.select(
         "doc_id", "source", "position", (F.length("token_ids") / 4).cast("bigint").alias("n_tokens"), "token_ids",
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

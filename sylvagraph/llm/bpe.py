@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylvagraph.llm.common import arrow_map, quoted, text_bytes
+from sylvagraph.llm.vectors import slices
 
 LEAF_CHARS = 4096
 ROWS_OUT = 512
@@ -112,6 +113,20 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_i
     return arrow_map(df.select(*quoted([*keep, ids_col])), run, _with_binary(df, keep, bytes_col))
 
 
+def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], text_col: str = "text", ids_col: str = "token_ids", bytes_col: str = "decoded", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """``encode`` and ``decode`` in one step: a task has one Python worker. ``keep`` must not have the two columns."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        of = codec(ranks_path, pattern, leaf_chars)
+        for part in slices(batch, ROWS_OUT):
+            ids = [np.array(of.encode(x.decode("utf-8", "replace")), dtype="<u4").tobytes() for x in text_bytes(part.column(text_col))]
+            out = [of.decode(np.frombuffer(x, dtype="<u4")) for x in ids]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(ids, pa.binary()), pa.array(out, pa.binary())], names=[*keep, ids_col, bytes_col])
+
+    schema = T.StructType([*_with_binary(df, keep, ids_col), T.StructField(bytes_col, T.BinaryType())])
+    return arrow_map(df.select(*quoted([*keep, text_col])), run, schema)
+
+
 def unpacked(ids_col: str = "token_ids") -> Column:
     """Packed ids as ARRAY<BIGINT>."""
     size = (F.length(ids_col) / 4).cast("int")

@@ -137,6 +137,17 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Discriminant | float, keep
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found)], names=[*keep, score])
 
 
+def graded(docs: DataFrame, model: Discriminant, text_col: str = "text", score: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score, from texts in one step: a task has one Python worker, and texts go to it once."""
+    names = [*docs.columns, score]
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = model.scores(transformed(np.array([counts_of(x) for x in text_bytes(batch.column(text_col))], dtype=np.int64)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=names)
+
+    return arrow_map(docs, run, T.StructType([*docs.schema, T.StructField(score, T.DoubleType())]))
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, shrinkage: float = SHRINKAGE) -> DataFrame:
     """``id_col``, held_out, score and predicted for every document. Rows whose crc32 of the id mod 4 is 2 are held out of training."""
     held = F.coalesce(crc32_of_id(id_col) % 4 == 2, F.lit(False))
@@ -148,11 +159,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, shrinkage: float = SHRINKAGE) -> DataFrame:
     """The documents scored at ``threshold`` or more, with all their columns. Without labelled rows of both classes nothing is rejected."""
-    name, score = free_name(docs, "statistics"), free_name(docs, "score")
+    score = free_name(docs, "score")
     held = F.coalesce(crc32_of_id(id_col) % 4 == 2, F.lit(False))
     stats = stored(statistics(docs.select(id_col, text_col).filter(~held), [id_col], text_col))
     model = fit(stats.join(labels.select(F.col(id_col), F.col(label_col).alias("label")), id_col), "label", shrinkage=shrinkage)
     if isinstance(model, float):
         return docs
-    found = scored(statistics(docs, docs.columns, text_col, name), model, docs.columns, name, score)
-    return found.filter(F.col(score) >= threshold).select(*quoted(docs.columns))
+    return graded(docs, model, text_col, score).filter(F.col(score) >= threshold).select(*quoted(docs.columns))
